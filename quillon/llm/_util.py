@@ -92,7 +92,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each word, 64-bit hash of each word) of A-Z-lower-cased texts.
+    """(row of each word, 64-bit hash of each word) of A-Z-lower-cased texts."""
+    return words_and_ends(texts)[:2]
+
+
+def words_and_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, 64-bit hash, last two bytes as a number) of each word of A-Z-lower-cased texts.
 
     Words are runs without ASCII white space.  A hash is a polynomial in the bytes
     modulo 2**64, taken from one running sum, then finalised with the length.
@@ -100,7 +105,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(texts)
     buf = _LOWER[np.frombuffer(joined, np.uint8)]
     if not len(buf):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     edge = np.diff(np.concatenate((np.ones(1, np.int8), _SPACE[buf].view(np.int8), np.ones(1, np.int8))))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _powers(len(buf) + 1)
@@ -109,4 +114,5 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = (total[end] - total[start]) * down[start]
     h = mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return np.searchsorted(ends, start, side="right"), h
+    last = buf[end - 1].astype(np.int64) * 256 + np.where(end - start > 1, buf[np.maximum(end - 2, 0)], 0)
+    return np.searchsorted(ends, start, side="right"), h, last

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _util as U
-from . import jaccard_join, pfair_mix, pii, piece_bpe, token_orc, topk_mips, toxicity
+from . import jaccard_join, maxent_lm, pfair_mix, pii, piece_bpe, token_orc, topk_mips, toxicity
 
 
 def _fold(n: int):
@@ -24,6 +24,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(U.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = U.table(spark, sf_dir, "documents").withColumn("held_out", _fold(10))
+    return maxent_lm.fit_and_score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(U.table(spark, sf_dir, "documents"))
 
