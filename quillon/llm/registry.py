@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _util as U
-from . import jaccard_join, maxent_lm, pfair_mix, pii, piece_bpe, token_orc, topk_mips, toxicity
+from . import html_text, jaccard_join, maxent_lm, media_jpeg, pfair_mix, pii, piece_bpe, token_orc, topk_mips, toxicity
 
 
 def _fold(n: int):
@@ -24,6 +24,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(U.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(U.table(spark, sf_dir, "pages"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = U.table(spark, sf_dir, "documents").withColumn("held_out", _fold(10))
     return maxent_lm.fit_and_score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
@@ -33,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(U.table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_jpeg.media_digests(media_jpeg.stored_media(U.table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = U.table(spark, sf_dir, "documents")
     labels = U.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~_fold(5))
