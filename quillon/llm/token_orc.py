@@ -142,7 +142,8 @@ def read_token_orc(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     rows = spark.read.orc(path)
     order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
-    return rows.join(blocks, "block").select(id_col, (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    # Broadcast: one row for each written partition, so that the ids themselves are not shuffled.
+    return rows.join(F.broadcast(blocks), "block").select(id_col, (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def ids_crc(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
