@@ -59,14 +59,10 @@ class ChunkEncoder:
 
     @staticmethod
     def _missing(keys, now: dict[str, bytes], before: dict[str, bytes]) -> list[str]:
-        new = []
-        for w in dict.fromkeys(keys):
-            if w not in now:
-                if w in before:
-                    now[w] = before[w]
-                else:
-                    new.append(w)
-        return new
+        new = set(keys).difference(now)
+        kept = new.intersection(before)
+        now.update(zip(kept, map(before.__getitem__, kept)))
+        return list(new - kept)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if t.isascii() and t.isprintable() else _WORD.findall(t) for t in texts]
@@ -81,7 +77,8 @@ class ChunkEncoder:
                 known[w] = b"".join([parts[p] for p in ps])
         if other := [w for w in new if w not in plain]:
             self._library(other, known)
-        out = [b"".join([known[w] for w in words]) for words in split]
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
         for kind in (self.words, self.parts):
             if len(kind[0]) > CACHE_WORDS:
                 kind[:] = [{}, kind[0]]
