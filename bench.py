@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from quillon.plans import catalog
 
-HEADLINE = "a1_confidence a3_author_trust a5_merge_replicas a9_stage_factors a21_precision_recall a25_median_p95 a_rollup j4_belief_diff j9_as_of t1_top_per_group t13_knn w2_ring_recurrence w4_cusum r6_shingles g11_components".split()
+HEADLINE = "a1_confidence a3_author_trust a5_merge_replicas a9_stage_factors a21_precision_recall a25_median_p95 a_rollup j4_belief_diff j9_as_of t1_top_per_group t13_knn w2_ring_recurrence w4_cusum".split()
 
 
 def main() -> None:
