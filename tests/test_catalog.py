@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillon.plans import catalog
+from quillon.plans import catalog, records  # noqa: F401  (records adds its queries to the catalog)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
