@@ -24,3 +24,13 @@ def contrast(a: Column, b: Column) -> Column:
 def contrast_level(ratio: Column, large: bool = False) -> Column:
     aa, aaa = (3, 4.5) if large else (4.5, 7)
     return F.when(ratio >= aaa, "AAA").when(ratio >= aa, "AA").otherwise("fail")
+
+
+def hsl(r: Column, g: Column, b: Column) -> Column:
+    """Struct ``h`` (0-359), ``s``, ``l`` (0-100) of 8-bit channels, halves rounded up."""
+    r, g, b = r / 255, g / 255, b / 255
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    d, light = top - low, (top + low) / 2
+    hue = F.when(d == 0, 0.0).when(top == r, ((g - b) / d + 6) % 6).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
+    sat = F.when(d == 0, 0.0).otherwise(d / (1 - F.abs(2 * light - 1)))
+    return F.struct((F.floor(hue + 0.5) % 360).alias("h"), F.floor(sat * 100 + 0.5).alias("s"), F.floor(light * 100 + 0.5).alias("l"))

@@ -73,3 +73,37 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.drop("old")
         if not changed:
             return label
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id, component`` (largest id in it) of nodes on a cycle of two or more; edges are ``src, dst``.
+
+    Forward colours: every node takes the largest id that reaches it.  A colour's own node
+    together with the nodes of that colour that reach it is a component; the rest goes on.
+    """
+    live = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    done = None
+    while not live.isEmpty():
+        nodes = live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
+        colour = _cut(nodes.select("id", F.col("id").alias("c")))
+        while True:
+            got = live.join(colour, live["src"] == colour["id"]).groupBy("dst").agg(F.max("c").alias("m"))
+            new = _cut(colour.join(got, colour["id"] == got["dst"], "left").select("id", F.greatest("c", "m").alias("c"), (F.col("m") > F.col("c")).alias("up")))
+            moved = new.where("up").limit(1).count()
+            colour = new.drop("up")
+            if not moved:
+                break
+        inside = live.join(colour.withColumnRenamed("id", "src"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("c = cd").select("src", "dst", "c")
+        inside = _cut(inside)
+        back = front = _cut(colour.where("id = c"))
+        while True:
+            step = inside.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
+            front = _cut(step.join(back, ["id", "c"], "left_anti"))
+            if front.isEmpty():
+                break
+            back = _cut(back.union(front.select("id", "c")))
+        found = back.join(back.groupBy("c").agg(F.count("*").alias("k")).where("k > 1"), "c", "left_semi").select("id", F.col("c").alias("component"))
+        done = _cut(found if done is None else done.union(found))
+        left = live.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
+        live = _cut(left.select("src", "dst"))
+    return done if done is not None else live.select(F.col("src").alias("id"), F.col("dst").alias("component"))
