@@ -290,6 +290,16 @@ def g11_components(spark, sf):
     return graph.components(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))), e)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, 100000000 + l_partkey % 400 AS p FROM lineitem),
+b AS (SELECT s AS a, p AS b FROM e UNION SELECT p, s FROM e), n AS (SELECT DISTINCT a AS id FROM b),
+r AS (SELECT id, id AS c FROM n UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id WHERE r.c < b.b)
+SELECT id, min(c) AS component FROM r GROUP BY id""")
+def g11_components_all(spark, sf):
+    """``g11_components`` on the edges of every line; the SQL of that one keeps one order in 61."""
+    e = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (100_000_000 + F.col("l_partkey") % 400).alias("dst")).distinct()
+    return graph.components(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))), e)
+
+
 @query(None)
 def g3_page_rank(spark, sf):
     l, o = read(spark, sf, "lineitem"), read(spark, sf, "orders")
@@ -323,3 +333,10 @@ def a11_daily_buckets(spark, sf):
 FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents WHERE lang = 'en')""")
 def r6_shingles(spark, sf):
     return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.size(S.shingles(F.col("text"))).cast("long").alias("n"))
+
+
+@query("""SELECT doc_id, len(list_distinct(CASE WHEN len(t) >= 4 THEN list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END)) AS n
+FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents)""")
+def r6_shingles_all(spark, sf):
+    """``r6_shingles`` of the documents in every language."""
+    return read(spark, sf, "documents").select("doc_id", F.size(S.shingles(F.col("text"))).cast("long").alias("n"))
