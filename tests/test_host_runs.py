@@ -1,0 +1,32 @@
+"""Repeats of a host, wherever its pages are dealt."""
+
+from quillon.llm import html_text
+
+
+def by_brute_force(pages):
+    """Words of each page outside every run of MIN_RUN tokens that another page of its host has too."""
+    streams = [[w for block in blocks for w in (*block.split(), None)] for _, blocks in pages]
+    n = html_text.MIN_RUN
+    runs = [{tuple(s[i : i + n]) for i in range(len(s) - n + 1)} for s in streams]
+    out = []
+    for k, (host, _) in enumerate(pages):
+        others = set().union(*(runs[j] for j in range(len(pages)) if j != k and pages[j][0] == host))
+        hit = {i + d for i in range(len(streams[k]) - n + 1) if tuple(streams[k][i : i + n]) in others for d in range(n)}
+        out.append([w for i, w in enumerate(streams[k]) if w is not None and i not in hit])
+    return out
+
+
+def test_repeats_are_found_over_the_whole_host(spark, monkeypatch):
+    shared = "a passage of ten words that two pages have alike"
+    pages = []
+    for i in range(24):
+        host = "h" if i % 3 else "other"
+        blocks = [f"own {i} words x{i} y{i}", f"z{i} " + (shared if i in (1, 2, 3) else f"q{i}") + f" end{i}", " ".join(f"t{i // 6}.{k}" for k in range(12)), f"last{i}"]
+        pages.append((host, blocks))
+    rows = [(i, f"http://{host}/{i}", "".join(f"<p>{b}</p>" for b in blocks)) for i, (host, blocks) in enumerate(pages)]
+    want = by_brute_force(pages)
+    for size in (512, 1):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", size)
+        got = {r.page_id: r.text.split() for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in range(len(pages))] == want
+    assert "passage" not in want[1] + want[2] and "passage" in want[3]
