@@ -55,8 +55,13 @@ def _matrix(col, dim: int) -> np.ndarray:
     return out
 
 
-def _best(qi: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (score descending, id ascending) for each query."""
+def _best(qi: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int, repeats: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score descending, id ascending) for each query; of equal ids (``repeats``: there may be some) the best score only."""
+    if repeats and len(qi):
+        order = np.lexsort((s, ids, qi))
+        qi, ids, s = qi[order], ids[order], s[order]
+        last = np.concatenate(((qi[1:] != qi[:-1]) | (ids[1:] != ids[:-1]), [True]))
+        qi, ids, s = qi[last], ids[last], s[last]
     order = np.lexsort((ids, -s.astype(np.float64), qi)) if np.abs(s).max(initial=0) < 2**53 else np.array(sorted(range(len(s)), key=lambda i: (qi[i], -int(s[i]), ids[i])), np.int64)
     qi, ids, s = qi[order], ids[order], s[order]
     start = np.concatenate(([0], np.flatnonzero(np.diff(qi)) + 1)) if len(qi) else np.empty(0, np.int64)
@@ -75,6 +80,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndar
     qr, vr = q @ turn, v @ turn
     qrest, vrest = np.sqrt((qr[:, w:] ** 2).sum(1)), np.sqrt((vr[:, w:] ** 2).sum(1))
     floor = floor.astype(np.float64).copy()
+    repeats = len(np.unique(vid)) < len(vid)
     held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, np.int64),) * 3
     for lo in range(0, len(v), STEP):
         hi = min(lo + STEP, len(v))
@@ -90,7 +96,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndar
         if not len(a):
             continue
         s = np.concatenate([exact_scores(q[a[i : i + 65536]], v[lo + b[i : i + 65536]]) for i in range(0, len(a), 65536)])
-        held = _best(np.concatenate((held[0], a)), np.concatenate((held[1], vid[lo + b])), np.concatenate((held[2], s)), k)
+        held = _best(np.concatenate((held[0], a)), np.concatenate((held[1], vid[lo + b])), np.concatenate((held[2], s)), k, repeats)
         full = np.flatnonzero(np.bincount(held[0], minlength=len(q)) >= k)
         ends = np.searchsorted(held[0], full, side="right") - 1
         floor[full] = np.maximum(floor[full], held[2][ends])

@@ -1,5 +1,6 @@
 """Queries over whole tables: no row of the input stays out."""
 
+from quillon.llm import topk_mips
 from quillon.plans import catalog
 
 
@@ -16,3 +17,10 @@ def test_shingles_of_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n for r in catalog.QUERIES["r6_shingles_all"](spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: 2, 3: 1, 4: 0}
+
+
+def test_top_k_counts_an_id_with_many_vectors_once(spark):
+    hot = [(7, [10.0, 0.1 * i]) for i in range(9)]  # nine different long vectors of one id
+    df = spark.createDataFrame([(50, [1.0, 0.0]), *hot, *[(i, [1.0 + i / 100, 0.0]) for i in range(100, 106)]], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id) for r in topk_mips.top_k(df, k=5).where("query_id = 50").orderBy("rank").collect()]
+    assert got == [(1, 7), (2, 105), (3, 104), (4, 103), (5, 102)]
