@@ -32,6 +32,8 @@ PREFIX = 4
 NEAR = 5
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes ti tus su vosotros".split())
 _WORD = re.compile(r"\w+")
+_UPPER = bytes(range(65, 91))
+_WIDE = re.compile(r"[^\x00-\x7f]")
 _SIGNS = re.compile(r"[!?]")
 _MANY = re.compile(r"[!?.]{2,}")
 _STRETCHED = re.compile(r"([^\W\d])\1\1")
@@ -46,6 +48,12 @@ class Lexicon:
     prefixes: dict[str, float]
 
 
+def _capitals(text: str) -> int:
+    """Upper-case characters: A to Z as bytes, the others one by one."""
+    b = text.encode("utf-8", "surrogatepass")
+    return len(b) - len(b.translate(None, _UPPER)) + (0 if len(b) == len(text) else sum(map(str.isupper, _WIDE.findall(text))))
+
+
 def features(text: str, lex: Lexicon) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
@@ -57,8 +65,8 @@ def features(text: str, lex: Lexicon) -> list[float]:
     begun = [tokens[i] for i in at if tokens[i][:PREFIX] in prefixes]
     weights = [max(words.get(tokens[i], 0.0), prefixes.get(tokens[i][:PREFIX], 0.0)) for i in at]
     near = sum(not SECOND_PERSON.isdisjoint(tokens[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
-    you = sum(w in SECOND_PERSON for w in tokens) if at else 0
-    upper = sum(map(str.isupper, text)) if at or len(text) < 200_000 else 0
+    you = sum(w in SECOND_PERSON for w in tokens)
+    upper = _capitals(text)
     hidden = [m.translate(_PLAIN).lower() for m in _HIDDEN.findall(text)] if re.search(r"[*@$#0-9]", text) else []
     return [
         np.log1p(n),

@@ -1,0 +1,13 @@
+"""Features of texts of any length."""
+
+from quillon.llm import toxicity
+
+
+def test_capitals_and_second_person_are_counted_in_every_text():
+    lex = toxicity.Lexicon({}, {})
+    at = toxicity.FEATURES.index
+    got = toxicity.features("SHOUT É " * 40_000, lex)
+    assert got[at("capitals")] == 6 / 8 and got[at("all_caps")] == 1.0
+    assert toxicity.features("are you here now", lex)[at("you_density")] == 0.25
+    text = "aÉǅßЖ漢Zz\x00" * 3
+    assert toxicity._capitals(text) == sum(map(str.isupper, text))
