@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,3 +68,45 @@ def line_fit(df: DataFrame, by: str, y: str, x: str) -> DataFrame:
     """Least-squares slope and intercept; slope 1 where x does not vary."""
     slope = F.coalesce(F.regr_slope(y, x), F.lit(1.0))
     return df.groupBy(by).agg(slope.alias("slope"), F.coalesce(F.regr_intercept(y, x), F.avg(y) - F.avg(x)).alias("intercept"))
+
+
+def nearest(vectors: DataFrame, k: int = 3, every: int = 50, block: int = 2_048) -> DataFrame:
+    """``query_id, rank, vec_id, sim``: the ``k`` largest cosines (9 decimals; ties: the smaller id) of each row whose ``vec_id`` is divisible by ``every`` with all rows of other ids.
+
+    Blocks of queries meet blocks of rows; of each pair of blocks only the best ``k`` go on.
+    Rows with a null id or vector take no part; a zero vector has cosine 0.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = rows.where(F.col("id") % every == 0)
+    n_rows, n_asked = rows.count(), asked.count()
+    right, left = max(1, -(-n_rows // block)), max(1, -(-n_asked // block))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    q = asked.withColumn("qb", deal(left)).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "qb").join(F.broadcast(spark.range(right).select(F.col("id").alias("vb"))))
+    v = rows.withColumn("vb", deal(right)).select(F.col("id").alias("vec_id"), F.col("v").alias("e"), "vb").join(F.broadcast(spark.range(left).select(F.col("id").alias("qb"))))
+
+    def unit(col, dim):
+        m = np.zeros((len(col), dim))
+        for i, x in enumerate(col):
+            m[i, : len(x)] = x
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def meet(a, b):
+        out = {"query_id": [], "vec_id": [], "sim": []}
+        if len(a) and len(b):
+            dim = max(1, a["q"].map(len).max(), b["e"].map(len).max())
+            ids, asks = b["vec_id"].to_numpy(), a["query_id"].to_numpy()
+            sims = unit(a["q"], dim) @ unit(b["e"], dim).T
+            for i, s in zip(asks, sims):
+                other = np.flatnonzero(ids != i)
+                best = other[np.lexsort((ids[other], -np.round(s[other], 9)))[:k]]
+                out["query_id"] += [i] * len(best)
+                out["vec_id"] += ids[best].tolist()
+                out["sim"] += s[best].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "sim": "float64"})
+
+    q, v = (x.withColumns({"qb": F.col("qb").cast("int"), "vb": F.col("vb").cast("int")}) for x in (q, v))
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(meet, "query_id long, vec_id long, sim double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "sim")

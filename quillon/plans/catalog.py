@@ -275,6 +275,13 @@ def t13_knn(spark, sf):
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "vec_id", r6("sim").alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, vec_id, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
+def t13_knn_all(spark, sf):
+    """``t13_knn`` for every row whose id is divisible by 50, against all other rows."""
+    return metrics.nearest(read(spark, sf, "embeddings"), k=3, every=50).select("query_id", "vec_id", r6("sim").alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
 def t1_top_per_group(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")

@@ -1,7 +1,10 @@
 """Queries over whole tables: no row of the input stays out."""
 
+import numpy as np
+
 from quillon.llm import topk_mips
-from quillon.plans import catalog
+from quillon.operators import metrics
+from quillon.plans import catalog, records  # noqa: F401  (adds its queries to the catalog)
 
 
 def test_components_use_every_line(spark, tmp_path):
@@ -24,3 +27,26 @@ def test_top_k_counts_an_id_with_many_vectors_once(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), *hot, *[(i, [1.0 + i / 100, 0.0]) for i in range(100, 106)]], "vec_id long, embedding array<double>")
     got = [(r["rank"], r.vec_id) for r in topk_mips.top_k(df, k=5).where("query_id = 50").orderBy("rank").collect()]
     assert got == [(1, 7), (2, 105), (3, 104), (4, 103), (5, 102)]
+
+
+def test_nearest_takes_every_query_and_every_other_row(spark):
+    rng = np.random.default_rng(5)
+    v = [[float(x) for x in rng.normal(size=6)] for _ in range(260)]
+    v[3], v[50] = v[100], [0.0] * 6
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    m = np.array(v)
+    m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+    want = []
+    for i in range(0, 260, 50):
+        s = np.round(m @ m[i], 9)
+        want += [(i, r + 1, int(j)) for r, j in enumerate([j for j in np.lexsort((np.arange(260), -s)) if j != i][:3])]
+    got = metrics.nearest(df, block=64).select("query_id", "rank", "vec_id").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_ladder_answers_from_every_other_document(spark, tmp_path):
+    text = "one two three four five six seven eight nine"
+    rows = [(50, text), (100, text), (150, "quite other words stand here all alone today"), (7, "more of it")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.query_id: (r.tier, r.artifact_id) for r in catalog.QUERIES["r10_reuse_ladder"](spark, str(tmp_path)).collect()}
+    assert got == {50: ("exact", 100), 100: ("exact", 50), 150: ("miss", None)}
