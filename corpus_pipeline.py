@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with proof that they decode to it."""
-    return piece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Token ids of every text, with proof that they decode to it, and its position in the mixed sequence."""
+    return piece_bpe.encode_texts(pfair_mix.with_position(docs), public_tokenizers.path("piece_bpe_32k.model"), keep=["position"])
 
 
 STAGES = [

@@ -21,6 +21,9 @@ its own place.  An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,3 +130,29 @@ def in_mixed_order(docs: DataFrame, weights: dict[str | None, int] | None = None
     joined = docs.join(place, docs[id_col].eqNullSafe(place["_id"]), "left")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return joined.repartitionByRange(n, "_slot", "_place").sortWithinPartitions("_slot", "_place", id_col).select(*[docs[c] for c in docs.columns])
+
+
+def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs`` and each row's place, from 0, in the sequence that its files were written in.
+
+    Spark reads files in an order of its own; the number in a part file's name and the row
+    index in the file give the sequence back.  A frame that is not read from Parquet files
+    directly is written first.
+    """
+    try:
+        at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return with_position(U.stored(docs, "sequence"), name)
+
+    def number(path: str) -> tuple:
+        m = re.match(r"part-(\d+)", path.rsplit("/", 1)[1])
+        c = re.search(r"-c(\d+)\.", path)
+        return (int(m[1]) if m else 0, int(c[1]) if c else 0, path)
+
+    sizes = {r["_file"]: r["n"] for r in at.groupBy("_file").agg(F.count("*").alias("n")).collect()}  # one row for each file
+    first, starts = 0, []
+    for path in sorted(sizes, key=number):
+        starts.append((path, first))
+        first += sizes[path]
+    known = docs.sparkSession.createDataFrame(starts, "_file string, _first long")
+    return at.join(F.broadcast(known), "_file").select(*docs.columns, (F.col("_first") + F.col("_at")).alias(name))

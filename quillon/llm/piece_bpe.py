@@ -270,13 +270,15 @@ def model_of(data: bytes) -> PieceModel:
     return _MODELS[key]
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids, exact``: every text's ids, and whether they decode to it.
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``id_col, n_tokens, ids, exact`` and the columns ``keep``: every text's ids, and whether they decode to it.
 
     The model file is read on the driver and shipped.
     """
     data = docs.sparkSession.sparkContext.broadcast(_read(model_path))
+    keep = keep or []
     kind = docs.schema[id_col].dataType.simpleString()
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         model = model_of(data.value)
@@ -286,11 +288,11 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 ids = [model.encode(t) for t in texts]
                 exact = [model.decode(x) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo : lo + 256], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)],
-                    [id_col, "n_tokens", "ids", "exact"],
+                    [b.column(0)[lo : lo + 256], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact), *(c[lo : lo + 256] for c in b.columns[2:])],
+                    [id_col, "n_tokens", "ids", "exact", *keep],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, exact boolean")
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, exact boolean{kept}")
 
 
 def _read(path: str) -> bytes:
