@@ -2,46 +2,60 @@
 
 Each kind has a pattern and, where one exists, a validator (octet range, Luhn, digit
 count, mod-97).  Base kinds (email, ip, card, phone) are reported as they are proposed
-and confirmed.  Further kinds (iban by mod-97; a national id or phone without "+" by
-its shape) count only if their score, raised or lowered by words near the span, reaches
-the threshold, and only where they overlap no base span.
-
-Offsets are code points, end exclusive.  Null and empty texts have no spans.  Every
-pattern is applied to the whole text in time linear in its length.
+and confirmed.  Further kinds count only if a validator confirms them (iban: mod-97;
+national id and phone without "+": the ranges of their groups; secret: entropy and mixed
+characters), if their score, raised or lowered by words near the span on both sides,
+reaches the threshold, and where they overlap no base span.
+
+Offsets are code points, end exclusive.  Null and empty texts have no spans.  Repeated
+rows are treated one by one; an empty table gives no rows.  Every pattern is applied to
+the whole text in time linear in its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _util as U
+
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "national_id", "local_phone")
-#: Words that raise or lower a span's score when they stand within ``WINDOW`` characters before it.
+KINDS = (*BASE_KINDS, "iban", "national_id", "local_phone", "secret")
+#: Words that raise or lower a span's score when they stand within ``WINDOW`` characters of it.
 WINDOW = 48
 RAISE = {
     "iban": ("iban", "account", "konto", "cuenta", "compte", "bank"),
     "national_id": ("ssn", "social", "security", "passport", "ausweis", "dni"),
     "local_phone": ("phone", "tel", "call", "mobile", "telefon", "telefono", "fax"),
+    "secret": ("token", "secret", "password", "passwd", "passwort", "credential", "apikey", "api_key", "access_key", "private_key", "bearer", "auth"),
 }
 LOWER = ("order", "invoice", "version", "isbn", "sku", "serial", "example")
-START = {"iban": 0.7, "national_id": 0.3, "local_phone": 0.3}
+START = {"iban": 0.7, "national_id": 0.3, "local_phone": 0.3, "secret": 0.3}
 THRESHOLD = 0.6
 
+#: Bits a character that a secret has at least, and its least length.
+SECRET_BITS = 2.8
+SECRET_SIZE = 16
+
 _ANY = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+_NATIONAL = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+.(-])\(?([0-9]{3})\)?[ .-]([0-9]{3})[ .-][0-9]{4}(?![0-9.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _IN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -94,27 +108,65 @@ def base_spans(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _context(t: str, start: int, kind: str) -> float:
-    near = re.findall(r"\w+", t[max(0, start - WINDOW) : start].lower())
+def entropy(s: str) -> float:
+    """Bits a character."""
+    counts = Counter(s)
+    return log2(len(s)) - sum(c * log2(c) for c in counts.values()) / len(s) if s else 0.0
+
+
+def issued(area: str, group: str, serial: str) -> bool:
+    """Whether a national id's groups are in ranges that are given out."""
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def dialled(area: str, exchange: str) -> bool:
+    """Whether a phone number's area and exchange begin with 2 to 9."""
+    return area[0] > "1" and exchange[0] > "1"
+
+
+def secret_like(s: str) -> bool:
+    """Letters and digits mixed, with the entropy of a random key."""
+    return len(s) >= SECRET_SIZE and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= SECRET_BITS
+
+
+def _context(t: str, start: int, end: int, kind: str) -> float:
+    near = re.findall(r"\w+", (t[max(0, start - WINDOW) : start] + " " + t[end : end + WINDOW]).lower())
     score = START[kind]
     score += 0.4 * any(w.startswith(RAISE[kind]) for w in near)
     score -= 0.3 * any(w.startswith(LOWER) for w in near)
     return score
 
 
-def added_spans(t: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Confirmed spans of the further kinds that touch no base span."""
-    found: list[tuple[int, int, str]] = []
+def _added(t: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of the further kinds that their validators confirm."""
     for m in _IBAN.finditer(t):
         body = m[0].replace(" ", "")
-        if 15 <= len(body) <= 34 and mod97(body) and _context(t, m.start(), "iban") >= THRESHOLD:
-            found.append((m.start(), m.end(), "iban"))
-    for kind, pattern in (("national_id", _NATIONAL), ("local_phone", _LOCAL_PHONE)):
-        for m in pattern.finditer(t):
-            if _context(t, m.start(), kind) >= THRESHOLD:
-                found.append((m.start(), m.end(), kind))
-    taken = sorted((s, e) for s, e, _ in base)
-    return [x for x in found if all(x[1] <= s or x[0] >= e for s, e in taken)]
+        if 15 <= len(body) <= 34 and mod97(body):
+            yield m.start(), m.end(), "iban"
+    for m in _NATIONAL.finditer(t):
+        if issued(*m.groups()):
+            yield m.start(), m.end(), "national_id"
+    for m in _LOCAL_PHONE.finditer(t):
+        if dialled(*m.groups()):
+            yield m.start(), m.end(), "local_phone"
+    for m in _SECRET.finditer(t):
+        if secret_like(m[0]):
+            yield m.start(), m.end(), "secret"
+
+
+def added_spans(t: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Confirmed spans of the further kinds whose context speaks for them and that touch no base span."""
+    found = [x for x in _added(t) if _context(t, *x) >= THRESHOLD]
+    if not found:
+        return []
+    starts = sorted((s, e) for s, e, _ in base)
+    ends = list(accumulate((e for _, e in starts), max))
+    out = []
+    for s, e, kind in found:
+        k = bisect_left(starts, (e, e))  # base spans that begin before this one's end
+        if not k or ends[k - 1] <= s:
+            out.append((s, e, kind))
+    return out
 
 
 def all_spans(t: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -138,25 +190,26 @@ def redact(t: str) -> str:
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts by base kind and the digests of base spans and all spans of each text."""
+    """Counts by base kind, the digests of base spans and all spans, and the counts of secrets and of all spans of each text."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_secret", "n_spans"]
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for t in b.column(1):
-                base, every = all_spans(t.as_py() or "")
-                kinds = [k for _, _, k in base]
-                for c, k in zip(cols, BASE_KINDS):
-                    c.append(kinds.count(k))
-                cols[4].append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest())
-                cols[5].append(",".join(f"{k}:{s}:{e}" for s, e, k in every))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())],
-                [id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+            for lo, hi in U.spans(b.column(1)):
+                cols: list[list] = [[] for _ in names]
+                for t in b.column(1)[lo:hi].to_pylist():
+                    base, every = all_spans(t or "")
+                    kinds = [k for _, _, k in every]
+                    base_text = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+                    row = (*(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(base_text.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, e, k in every), kinds.count("secret"), len(kinds))
+                    for c, x in zip(cols, row):
+                        c.append(x)
+                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *(pa.array(c, t) for c, t in zip(cols, types))], [id_col, *names])
+
+    schema = f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long"
+    return docs.select(id_col, text_col).mapInArrow(U.tidy(run), schema)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
