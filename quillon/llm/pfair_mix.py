@@ -14,8 +14,7 @@ counts, and the blocks of any amount of data are placed by a join with it.  The
 holds one row for each source and at most ``sources * D`` slots.
 
 A null source is a source of its own.  A source that has no weight, or one below 1, gets
-weight 1.  Rows that share source and id are ordered by chance of the sort, but each has
-its own place.  An empty table gives no rows.
+weight 1.  Rows that share source and id take the places one after the other.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -125,11 +124,12 @@ def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_r
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows of ``docs``, same columns, range-partitioned and sorted into the mixed sequence."""
     spark = docs.sparkSession
-    place = mixed(docs, weights, block_rows, id_col, source_col).select(F.col(id_col).alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
-    place = U.stored(place.dropDuplicates(["_id"]), "places")  # repeated ids travel together, at one of their places
-    joined = docs.join(place, docs[id_col].eqNullSafe(place["_id"]), "left")
+    own, slot, place = (U.fresh(docs, c) for c in ("_id", "_slot", "_place"))
+    at = mixed(docs, weights, block_rows, id_col, source_col).groupBy(F.col(id_col).alias(own)).agg(F.min(F.struct("slot", "place")).alias("p"))
+    at = U.stored(at.select(own, F.col("p.slot").alias(slot), F.col("p.place").alias(place)), "places")  # repeated ids travel together, at their first place
+    joined = docs.join(at, docs[id_col].eqNullSafe(at[own]), "left")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "_slot", "_place").sortWithinPartitions("_slot", "_place", id_col).select(*[docs[c] for c in docs.columns])
+    return joined.repartitionByRange(n, slot, place).sortWithinPartitions(slot, place, F.xxhash64(*docs.columns)).select(*[docs[c] for c in docs.columns])
 
 
 def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
@@ -139,8 +139,10 @@ def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
     index in the file give the sequence back.  A frame that is not read from Parquet files
     directly is written first.
     """
+    docs = docs.drop(name)  # a column of this name gives way
+    file, row, start = (U.fresh(docs, c) for c in ("_file", "_at", "_first"))
     try:
-        at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        at = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException:
         return with_position(U.stored(docs, "sequence"), name)
 
@@ -149,10 +151,10 @@ def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
         c = re.search(r"-c(\d+)\.", path)
         return (int(m[1]) if m else 0, int(c[1]) if c else 0, path)
 
-    sizes = {r["_file"]: r["n"] for r in at.groupBy("_file").agg(F.count("*").alias("n")).collect()}  # one row for each file
+    sizes = {r[file]: r["n"] for r in at.groupBy(file).agg(F.count("*").alias("n")).collect()}  # one row for each file
     first, starts = 0, []
     for path in sorted(sizes, key=number):
         starts.append((path, first))
         first += sizes[path]
-    known = docs.sparkSession.createDataFrame(starts, "_file string, _first long")
-    return at.join(F.broadcast(known), "_file").select(*docs.columns, (F.col("_first") + F.col("_at")).alias(name))
+    known = docs.sparkSession.createDataFrame(starts, f"{file} string, {start} long")
+    return at.join(F.broadcast(known), file).select(*docs.columns, (F.col(start) + F.col(row)).alias(name))

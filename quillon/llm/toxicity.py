@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _util as U
+
 #: Most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 20_000
 #: Entries a lexicon may have, the least toxic texts an entry is in, and its least log-odds.
@@ -216,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         docs_seen = Counter()
         for b in batches:
-            for t, y, part in zip(*(c.to_pylist() for c in b.columns)):
+            rows = (x for lo, hi in U.spans(b.column(0)) for x in zip(*(c[lo:hi].to_pylist() for c in b.columns)))
+            for t, y, part in rows:
                 if part < 4:
                     ws = set(_WORD.findall((t or "").lower()))
                     seen[y].update(ws)
@@ -227,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             {"w": ["", *words], "t": pa.array([docs_seen[1], *(seen[1][w] for w in words)], pa.int64()), "c": pa.array([docs_seen[0], *(seen[0][w] for w in words)], pa.int64())}
         )
 
-    counts = texts.mapInArrow(count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = texts.mapInArrow(U.tidy(count), "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 1) / (F.col("c") + 1))
     top = counts.where((F.col("w") == "") | (F.col("t") >= LEAST_TEXTS)).orderBy((F.col("w") != ""), odds.desc(), "w").limit(2 * LEXICON).collect()
     toxic, clean = next(((r.t, r.c) for r in top if r.w == ""), (0, 0))
@@ -250,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 }
             )
 
-    got = texts.mapInArrow(measure, "x array<double>, y int, part int").toArrow().to_pydict()  # at most sample_rows rows of 17 numbers
+    got = texts.mapInArrow(U.tidy(measure), "x array<double>, y int, part int").toArrow().to_pydict()  # at most sample_rows rows of 17 numbers
     x = np.array(got["x"], float).reshape(-1, len(FEATURES))
     y, part = np.array(got["y"], float), np.array(got["part"])
     order = np.lexsort((*x.T, y, part))  # the same whatever order the rows came in
@@ -259,16 +262,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return ToxicityModel(lex, fit_trees(x[fit_on], y[fit_on], x[~fit_on], y[~fit_on]))
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns of every row and ``score double``."""
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``keep`` columns of every row and ``score_col`` double."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = src.drop("__text").schema.add("score", "double")
+    if score_col in keep:
+        raise ValueError(f"a column {score_col} is already there")
+    extra = [] if text_col in keep else [text_col]
+    src = docs.select(*keep, *extra)
+    at = [*keep, *extra].index(text_col)
+    schema = docs.select(*keep).schema.add(score_col, "double")
 
     def run(batches):
         for b in batches:
-            s = sent.value.scores(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
+            for lo, hi in U.spans(b.column(at)):
+                s = sent.value.scores(b.column(at)[lo:hi].to_pylist())
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[: len(keep)]), pa.array(s, pa.float64())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(U.tidy(run), schema)
