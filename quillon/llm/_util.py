@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
@@ -17,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one under /tmp only where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,27 +52,56 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a ``stored`` frame that nothing will read again."""
+def drop_stored(*frames: DataFrame, settle_: bool = True) -> None:
+    """Remove the files of ``stored`` frames that nothing will read again, with the shuffle files of ended jobs."""
+    spark = frames[0].sparkSession
     jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+    for f in {p.rsplit("/", 1)[0] for df in frames for p in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if settle_:
+        settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver's collectors see which jobs' shuffle files nothing refers to any more; Spark then deletes those."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def spans(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows with at most about ``max_bytes`` of text; a longer text is a run by itself."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, lo = np.cumsum(size), 0
+    while lo < len(size):
+        before = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + max_bytes, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as UTF-8) in runs of at most about ``max_bytes``; null is empty."""
-    out: list[bytes] = []
-    at = size = 0
-    for i, t in enumerate(texts.to_pylist()):
-        b = t.encode("utf-8", "surrogatepass") if t else b""
-        if out and size + len(b) > max_bytes:
-            yield at, out
-            out, at, size = [], i, 0
-        out.append(b)
-        size += len(b)
-    if out:
-        yield at, out
+    for lo, hi in spans(texts, max_bytes):
+        yield lo, [t or b"" for t in texts[lo:hi].cast(pa.binary()).to_pylist()]
+
+
+def tidy(run):
+    """A batch function that, at the end of its task, gives a reused worker's free memory back."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # a C library without it
+
+    return tidied
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,12 +114,17 @@ _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[key] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers of the base and of its inverse; kept by the worker up to a bounded length."""
+    if len(_POWERS["up"]) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = {}
+    for key, base in (("up", _BASE), ("down", _INVERSE)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        made[key] = np.cumprod(p, dtype=np.uint64)
+    if n <= 4 * SLICE_BYTES:
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
