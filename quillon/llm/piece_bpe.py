@@ -24,9 +24,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import _util as U
+
 SPACE = "▁"
-#: Words whose encodings one worker remembers before it starts afresh.
-CACHE_WORDS = 200_000
+#: Words whose encodings a task remembers before it starts a new generation; it holds two.
+CACHE_WORDS = 80_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -106,6 +108,10 @@ class PieceModel:
         self.cache: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drop what a task has remembered; the model itself stays with the worker."""
+        self.fits, self.cache, self.older = {}, {}, {}
+
     def merge(self, text: str) -> list[str]:
         """Merging by score, best pair first, leftmost on ties: the reference for short strings."""
         parts = list(text)
@@ -123,7 +129,7 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 2 * CACHE_WORDS:
+            if len(self.fits) > CACHE_WORDS:
                 self.fits.clear()
             got = self.fits[a, b] = self.merge(a + b) == [a, b]
         return got
@@ -132,7 +138,7 @@ class PieceModel:
         """Tokens of a text whose every character is in the vocabulary."""
         size = len(text)
         reach, best, most = self.auto.longest_prefix, self.best, self.most
-        failed = 0  # a bit for each position
+        failed: bytearray | None = None  # a bit for each position, once one has failed
         fits, short = self.fits, self.short
         out: list[str] = []
         rest = text[:most]
@@ -141,14 +147,16 @@ class PieceModel:
             if token is None:
                 if not out:
                     return self.merge(text)  # no compatible sequence: a vocabulary with unsound characters
-                failed |= 1 << pos
+                if failed is None:
+                    failed = bytearray((size >> 3) + 1)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= len(token)
                 last = out[-1] if out else None
                 token = short[token]
                 continue
             end = pos + len(token)
-            if failed and failed >> end & 1:
+            if failed is not None and failed[end >> 3] >> (end & 7) & 1:
                 token = short[token]
                 continue
             if last is not None:
@@ -283,16 +291,17 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches):
         model = model_of(data.value)
         for b in batches:
-            for lo in range(0, len(b), 256):
-                texts = [t or "" for t in b.column(1)[lo : lo + 256].to_pylist()]
+            for lo, hi in U.spans(b.column(1)):
+                texts = [t or "" for t in b.column(1)[lo:hi].to_pylist()]
                 ids = [model.encode(t) for t in texts]
                 exact = [model.decode(x) == t for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo : lo + 256], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact), *(c[lo : lo + 256] for c in b.columns[2:])],
+                    [b.column(0)[lo:hi], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact), *(c[lo:hi] for c in b.columns[2:])],
                     [id_col, "n_tokens", "ids", "exact", *keep],
                 )
+        model.forget()
 
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, exact boolean{kept}")
+    return docs.select(id_col, text_col, *keep).mapInArrow(U.tidy(run), f"`{id_col}` {kind}, n_tokens long, ids array<int>, exact boolean{kept}")
 
 
 def _read(path: str) -> bytes:
@@ -316,6 +325,7 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                 n.append(len(ids))
                 digest.append(sha(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                 back.append(sha(model.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(U.tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
