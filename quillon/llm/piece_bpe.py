@@ -17,8 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +28,7 @@ from . import _util as U
 
 SPACE = "▁"
 #: Words whose encodings a task remembers before it starts a new generation; it holds two.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 120_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -105,12 +105,14 @@ class PieceModel:
                     token = p[:n]
                 self.best[p[:n]] = token
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        # Packed ids of words after a space (two generations), and of words after a line feed.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        """Drop what a task has remembered; the model itself stays with the worker."""
-        self.fits, self.cache, self.older = {}, {}, {}
+        """Drop the words that a task has remembered; the model and a bounded number of pairs stay with the worker."""
+        self.cache, self.older, self.bare = {}, {}, {}
 
     def merge(self, text: str) -> list[str]:
         """Merging by score, best pair first, leftmost on ties: the reference for short strings."""
@@ -129,7 +131,7 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > CACHE_WORDS:
+            if len(self.fits) > 2 * CACHE_WORDS:
                 self.fits.clear()
             got = self.fits[a, b] = self.merge(a + b) == [a, b]
         return got
@@ -171,17 +173,29 @@ class PieceModel:
             token = best.get(rest[: reach(rest)])
         return out
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of one stretch that no piece crosses."""
-        ids = self.cache.get(text)
+    def _word(self, word: str) -> bytes:
+        """Packed ids of a word that follows a space; line feeds stand alone."""
+        if "\n" in word:
+            first, *rest = word.split("\n")
+            feed = self._after_feed("\n")
+            return b"".join([self.cache.get(first) or self._word(first), *(feed + self._after_feed(x) if x else feed for x in rest)])
+        ids = self.older.get(word)
         if ids is None:
-            ids = self.older.get(text)
-            if ids is None:
-                ids = self._segment(text)
-            if len(text) < 64:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.older, self.cache = self.cache, {}
-                self.cache[text] = ids
+            ids = _packed(self._segment(SPACE + word))
+        if len(word) < 64:
+            if len(self.cache) >= CACHE_WORDS:
+                self.older, self.cache = self.cache, {}
+            self.cache[word] = ids
+        return ids
+
+    def _after_feed(self, word: str) -> bytes:
+        ids = self.bare.get(word)
+        if ids is None:
+            ids = _packed(self._segment(word))
+            if len(word) < 64:
+                if len(self.bare) >= CACHE_WORDS:
+                    self.bare = {}
+                self.bare[word] = ids
         return ids
 
     def _segment(self, text: str) -> list[int]:
@@ -206,13 +220,15 @@ class PieceModel:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        known, word = self.cache.get, self._word
         if self.cut and self.solo and text[0] != " " and "  " not in text and SPACE not in text:
-            parts = (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
+            raw = [known(w) or word(w) for w in text.split(" ")]
         else:
             whole = SPACE + text.replace(" ", SPACE)
             parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", whole) if self.cut else [whole]
-        known, segment = self.cache, self.segment
-        ids = list(chain.from_iterable([known[p] if p in known else segment(p) for p in parts if p]))
+            single = [self.solo and p[0] == SPACE and p[1:2] not in ("", SPACE) for p in parts]
+            raw = [known(p[1:]) or word(p[1:]) if one else _packed(self._segment(p)) for p, one in zip(parts, single)]
+        ids = array("I", b"".join(raw)).tolist()
         if self.byte_ids or self.unk not in ids:
             return ids
         return [x for i, x in enumerate(ids) if x != self.unk or not i or ids[i - 1] != self.unk]
@@ -239,6 +255,10 @@ class PieceModel:
         return "".join(out)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def _utf8(b: bytes) -> str:
     """UTF-8 with one replacement character for each byte that starts no valid character."""
     try:
