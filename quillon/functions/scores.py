@@ -11,6 +11,11 @@ def noisy_or(p: Column) -> Column:
     return 1 - F.product(1 - p)
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out a single time, though ``f`` uses it in inner lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def clamp01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
@@ -34,9 +39,12 @@ def set_overlap(a: Column, b: Column) -> Column:
 
 def shingles(text: Column, n: int = 4) -> Column:
     """Distinct n-token shingles of lower-cased alphanumeric tokens; a shorter text is one shingle."""
-    tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-    many = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.array_distinct(F.when(F.size(tokens) >= n, many).when(F.size(tokens) > 0, F.array(F.concat_ws(" ", tokens))).otherwise(F.array().cast("array<string>")))
+
+    def of(tokens: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
+        return F.when(F.size(tokens) >= n, many).when(F.size(tokens) > 0, F.array(F.concat_ws(" ", tokens))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(once(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""), of))
 
 
 def band(score: Column, cuts: tuple[float, ...], names: tuple[str, ...]) -> Column:
@@ -105,6 +113,9 @@ def saved_estimate(chars: Column, tier: Column) -> Column:
 
 def char_bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters, lower-cased; a single character stands for itself."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) == 1, F.array(t)).otherwise(F.array_distinct(pairs))
+
+    def of(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) == 1, F.array(t)).otherwise(F.array_distinct(pairs))
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), of)

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scores import once
+
 # Volatile parts of an error text and what stands for them, in the order they apply.
 ERROR_PARTS = (
     (r"\r\n", "\n"),
@@ -92,15 +94,16 @@ def concept_tokens(text: Column, stop: Iterable[str] = ()) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Bits for each character of a short text; 0 for an empty one."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
+    """Bits for each character of a text; 0 for an empty one."""
 
-    def bits(acc: Column, c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return acc - p * F.log2(p)
+    def of(chars: Column) -> Column:
+        # runs of equal characters in sorted order: their lengths are the counts
+        n = F.size(chars)
+        cuts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(chars, i) != F.get(chars, i - 1)))
+        spans = F.zip_with(F.slice(cuts, 2, F.size(cuts)), cuts, lambda b, a: F.coalesce((b - a) / n, F.lit(0.0)))
+        return F.when(n == 0, 0.0).otherwise(F.aggregate(spans, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0)))
 
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), bits)
+    return once(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), of)
 
 
 def red_flags(text: Column) -> Column:

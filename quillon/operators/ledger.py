@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .decisions import valid_ref
+
 # The weight of each oracle's evidence.
 ORACLE_WEIGHTS = {
     "human.revert": 1.0,
@@ -22,14 +24,24 @@ UNRESOLVED_WEIGHT, UNRESOLVED_CAP = 0.5, 0.55
 
 
 def weighted(evidence: DataFrame) -> DataFrame:
-    """Valid evidence rows with their oracle's weight ``w`` (a stored weight is never trusted)."""
+    """Valid evidence rows with their oracle's weight ``w`` (a stored weight is never trusted).
+
+    Where there are such columns, the hash ``h`` must be present and the reference ``ref`` valid.
+    """
+    if "h" in evidence.columns:
+        evidence = evidence.where("h is not null and h <> ''")
+    if "ref" in evidence.columns:
+        evidence = evidence.where(F.col("ref").isNull() | valid_ref(F.col("ref")))
     table = F.create_map(*[F.lit(x) for kv in ORACLE_WEIGHTS.items() for x in kv])
     known = evidence.where(F.col("oracle").isin(*ORACLE_WEIGHTS) & F.col("result").isin("confirm", "contradict"))
     return known.withColumn("w", table[F.col("oracle")])
 
 
-def confidence(evidence: DataFrame, now_day: int, half_life: int = HALF_LIFE, trust: DataFrame | None = None) -> DataFrame:
-    """``claim_id, val``: decayed Beta mean; without a resolved confirmation at most the cap."""
+def confidence(evidence: DataFrame, now_day: int, half_life: int = HALF_LIFE, trust: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """``claim_id, val``: decayed Beta mean; without a resolved confirmation at most the cap.
+
+    With ``claims`` every claim has a row; one without valid evidence stands at one half.
+    """
     e = weighted(evidence)
     d = F.col("w") * F.pow(F.lit(0.5), F.greatest(F.lit(0), F.lit(now_day) - F.col("t")) / half_life) * F.when(F.col("resolved"), 1.0).otherwise(UNRESOLVED_WEIGHT)
     if trust is not None:
@@ -40,19 +52,26 @@ def confidence(evidence: DataFrame, now_day: int, half_life: int = HALF_LIFE, tr
         F.sum(F.when(confirm, F.col("d")).otherwise(0.0)).alias("c"), F.sum("d").alias("a"), F.bool_or(confirm & F.col("resolved")).alias("ok")
     )
     v = (1 + F.col("c")) / (2 + F.col("a"))
-    return sums.select("claim_id", F.when(F.col("ok"), v).otherwise(F.least(v, F.lit(UNRESOLVED_CAP))).alias("val"))
+    vals = sums.select("claim_id", F.when(F.col("ok"), v).otherwise(F.least(v, F.lit(UNRESOLVED_CAP))).alias("val"))
+    if claims is None:
+        return vals
+    return claims.select("claim_id").distinct().join(vals, "claim_id", "left").select("claim_id", F.coalesce("val", F.lit(0.5)).alias("val"))
 
 
-def recency(evidence: DataFrame, now_day: int, half_life: int = HALF_LIFE) -> DataFrame:
-    """``claim_id, rec``: half-life decay of the latest record, future days counting as today."""
+def recency(evidence: DataFrame, now_day: int, half_life: int = HALF_LIFE, claims: DataFrame | None = None) -> DataFrame:
+    """``claim_id, rec``: half-life decay of the latest record, future days counting as today; all evidence counts, and the mint day ``t`` of ``claims``."""
+    evidence = evidence.select("claim_id", "t")
+    if claims is not None:
+        evidence = evidence.unionByName(claims.select("claim_id", "t"))
     return evidence.groupBy("claim_id").agg(F.pow(F.lit(0.5), F.greatest(F.lit(0), F.lit(now_day) - F.max("t")) / half_life).alias("rec"))
 
 
 def author_trust(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``author, trust``: smoothed confirm rate of an author's claims, others' evidence only."""
+    """``author, trust``: smoothed confirm rate of an author's claims, others' evidence only; 1 without any."""
     e = weighted(evidence).select("claim_id", F.col("author").alias("by"), "result", "w").join(claims.select("claim_id", "author"), "claim_id").where("`by` <> author")
     c = F.sum(F.when(F.col("result") == "confirm", F.col("w")).otherwise(0.0))
-    return e.groupBy("author").agg(F.greatest(F.lit(0.5), (c + 2) / (F.sum("w") + 2)).alias("trust"))
+    rates = e.groupBy("author").agg(F.greatest(F.lit(0.5), (c + 2) / (F.sum("w") + 2)).alias("rate"))
+    return claims.select("author").distinct().join(rates, "author", "left").select("author", F.coalesce("rate", F.lit(1.0)).alias("trust"))
 
 
 def merged(*logs: DataFrame, key: tuple[str, ...] = ("claim_id", "h")) -> DataFrame:
@@ -77,6 +96,13 @@ def as_of(log: DataFrame, day: int) -> DataFrame:
     return log.where(F.col("t") <= day)
 
 
+def state_at(claims: DataFrame, evidence: DataFrame, day: int) -> DataFrame:
+    """``claim_id, val``: the claims minted by a day (no mint day: day 0), by the evidence until then."""
+    minted = claims.where(F.coalesce("t", F.lit(0)) <= day)
+    known = as_of(evidence, day).join(minted.select("claim_id"), "claim_id", "left_semi")
+    return confidence(known, day, claims=minted)
+
+
 def belief_diff(evidence: DataFrame, day_a: int, day_b: int) -> DataFrame:
     """``claim_id, before, after, change``: confidence as of two days, side by side."""
     a = confidence(as_of(evidence, day_a), day_a).withColumnRenamed("val", "before")

@@ -18,7 +18,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def stage_factors(events: DataFrame) -> DataFrame:
-    """One row: the gate's, cache's and context's factor; null where a stage has no rows."""
+    """One row: the gate's, cache's, route's and context's factor; null where a stage has no rows.
+
+    The route's rows have a ``cost`` and a ``premium`` cost where they can be priced.
+    """
     stage, outcome = F.col("stage"), F.col("outcome")
     worth = F.lit(0.0)
     for name, w in CACHE_WORTH.items():
@@ -28,10 +31,18 @@ def stage_factors(events: DataFrame) -> DataFrame:
     return events.agg(
         ratio(F.count_if((stage == "gate") & (outcome == "halt")), F.count_if(stage == "gate")).alias("gate"),
         F.avg(F.when(stage == "cache", worth)).alias("cache"),
+        _route(events).alias("route"),
         ratio(saved, saved + used).alias("context"),
     )
 
 
+def _route(events: DataFrame) -> Column:
+    if not {"cost", "premium"} <= set(events.columns):
+        return F.lit(None).cast("double")
+    priced = (F.col("stage") == "route") & F.col("cost").isNotNull() & F.col("premium").isNotNull()
+    return 1 - ratio(F.sum(F.when(priced, F.col("cost"))), F.sum(F.when(priced, F.col("premium"))))
+
+
 def composed_reduction(factors: DataFrame, factor: str = "factor") -> DataFrame:
     """1 - prod(1 - f) over the measured factors; null when none is."""
     return factors.where(F.col(factor).isNotNull()).agg((1 - F.product(1 - F.col(factor))).alias("reduction"))

@@ -52,6 +52,11 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, righ
 
 
 def price_windows(facts: DataFrame, windows: DataFrame, day: str) -> DataFrame:
-    """Each fact with the first (by ``ord``) window of the same key that contains its day."""
-    hit = facts.join(F.broadcast(windows), (facts["key"] == windows["key"]) & (F.col(day) >= F.col("from_day")) & (F.col("until_day").isNull() | (F.col(day) <= F.col("until_day")))).drop(windows["key"])
-    return hit
+    """Each fact of a priced key with ``price``: of the first window (by ``ord``) of its key that contains its day, else the key's ``flat`` price.
+
+    A key has few windows; they travel as one array, so no pair of fact and window is a row.
+    """
+    listed = windows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "from_day", "until_day", F.col("price").alias("p")))).alias("_w"), F.max("flat").alias("_flat"))
+    inside = lambda w: (F.col(day) >= w["from_day"]) & (w["until_day"].isNull() | (F.col(day) <= w["until_day"]))
+    first = F.get(F.filter("_w", inside), 0)
+    return facts.join(listed, "key").withColumn("price", F.coalesce(first["p"], F.col("_flat"))).drop("_w", "_flat")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
-from ..functions.scores import shingles
 
 # Lanes, hash constants, bands of lanes, and the ladder's limits.
 LANES = 128
@@ -43,13 +44,21 @@ def sketch_of(words: list[str]) -> np.ndarray:
     return out
 
 
+def shingles_of(text: str | None, n: int = 4) -> list[str]:
+    """The shingles of ``scores.shingles``, where a row is in Python anyhow."""
+    t = [x for x in re.split("[^a-z0-9]+", (text or "").lower()) if x]
+    if len(t) < n:
+        return [" ".join(t)] if t else []
+    return list(dict.fromkeys(" ".join(t[i : i + n]) for i in range(len(t) - n + 1)))
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def _sketch(s: pd.Series) -> pd.Series:
-    return s.map(lambda w: sketch_of(list(w) if w is not None else []).astype(np.int64))
+    return s.map(lambda t: sketch_of(shingles_of(t)).astype(np.int64))
 
 
 def sketch(text: Column) -> Column:
-    return _sketch(shingles(F.coalesce(text, F.lit(""))))
+    return _sketch(F.coalesce(text, F.lit("")))
 
 
 def agreement(a: str, b: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, texts
 from ..operators import decisions, ledger, sessions, sketches
+from ..operators.graph import shared_folder
 from ..sources import logs
 from ..streaming import events as live
 from .catalog import _CONF, EVIDENCE, METRICS, NOW, WEIGHTS, evidence, metric_rows, query, r6, read
@@ -17,7 +18,7 @@ ERROR_TEXT = "concat('Error at /srv/app', user_id, '/job.js:', event_id, ':5 lin
 
 def _folder(spark, name: str) -> str:
     """A new folder that all executors see."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/quillon-shared'}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _java(pattern: str) -> str:

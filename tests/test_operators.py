@@ -1,6 +1,7 @@
 """Laws and hand-computed answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import graph, ledger, metrics
 
@@ -19,6 +20,10 @@ def test_confidence_values(spark):
     assert got[2] == 0.55  # never resolved: capped
     assert got[3] == pytest.approx(1 / 3)
     assert 4 not in got  # unknown oracles are not evidence
+    every = {r.claim_id: r.val for r in ledger.confidence(e, 0, claims=e.select("claim_id")).collect()}
+    assert every[4] == 0.5 and every[1] == got[1]
+    bad = e.withColumn("h", F.when(F.col("claim_id") == 1, F.col("h"))).withColumn("ref", F.when(F.col("claim_id") == 3, F.lit("git:")))
+    assert {r.claim_id for r in ledger.confidence(bad, 0).collect()} == {1}
     late = {r.claim_id: r.val for r in ledger.confidence(e, 45).collect()}
     assert late[1] == pytest.approx(1.4 / 2.4)
 

@@ -2,7 +2,6 @@
 
 import numpy as np
 
-from quillon.llm import topk_mips
 from quillon.operators import metrics
 from quillon.plans import catalog, records  # noqa: F401  (adds its queries to the catalog)
 
@@ -10,7 +9,7 @@ from quillon.plans import catalog, records  # noqa: F401  (adds its queries to t
 def test_components_use_every_line(spark, tmp_path):
     rows = [(1, 1, 10), (61, 1, 11), (2, 2, 11), (3, 3, 12)]  # only order 61 is a multiple of 61
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.id: r.component for r in catalog.QUERIES["g11_components_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.component for r in catalog.QUERIES["g11_components"](spark, str(tmp_path)).collect()}
     part = 100_000_000
     assert got == {1: 1, 2: 1, part + 10: 1, part + 11: 1, 3: 3, part + 12: 3}
 
@@ -18,17 +17,10 @@ def test_components_use_every_line(spark, tmp_path):
 def test_shingles_of_every_language(spark, tmp_path):
     rows = [(1, "a b c d e", "en"), (2, "a b c d e", "de"), (3, "x", None), (4, None, "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n for r in catalog.QUERIES["r6_shingles_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n for r in catalog.QUERIES["r6_shingles"](spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: 2, 3: 1, 4: 0}
 
 
-def test_top_k_counts_an_id_with_many_vectors_once(spark):
-    hot = [(7, [10.0, 0.1 * i]) for i in range(9)]  # nine different long vectors of one id
-    df = spark.createDataFrame([(50, [1.0, 0.0]), *hot, *[(i, [1.0 + i / 100, 0.0]) for i in range(100, 106)]], "vec_id long, embedding array<double>")
-    got = [(r["rank"], r.vec_id) for r in topk_mips.top_k(df, k=5).where("query_id = 50").orderBy("rank").collect()]
-    assert got == [(1, 7), (2, 105), (3, 104), (4, 103), (5, 102)]
-
-
 def test_nearest_takes_every_query_and_every_other_row(spark):
     rng = np.random.default_rng(5)
     v = [[float(x) for x in rng.normal(size=6)] for _ in range(260)]
