@@ -30,14 +30,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one under /tmp only where none is set (tests)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; one of this machine only where Spark runs on it alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file:///tmp/quillon-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/quillon-shared"
 
 
 def stored_path(spark: SparkSession, name: str) -> str:
