@@ -190,3 +190,46 @@ def test_top_k_counts_an_id_with_many_vectors_once(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), *hot, *[(i, [1.0 + i / 100, 0.0]) for i in range(100, 106)]], "vec_id long, embedding array<double>")
     got = [(r["rank"], r.vec_id) for r in topk_mips.top_k(df, k=5).where("query_id = 50").orderBy("rank").collect()]
     assert got == [(1, 7), (2, 105), (3, 104), (4, 103), (5, 102)]
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "SHARD_BYTES", 4_000)
+    monkeypatch.setattr(maxent_lm, "COMMON", 40)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(80)}"]) for _ in range(rng.randrange(1, 60))) for _ in range(150)] + AWKWARD
+    docs = documents(spark, texts)
+    got = [{r.doc_id: tuple(r) for r in maxent_lm.fit_and_score(docs.repartition(n), F.col("doc_id") % 10 != 0, ["doc_id"]).collect()} for n in (2, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(texts)
+
+
+def test_language_model_scores_by_hand(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(900)}"]) for _ in range(60)) for _ in range(60)]
+    docs = documents(spark, texts)
+    counts = maxent_lm.count_words(docs)
+    m = maxent_lm.train(docs, maxent_lm.vocabulary(counts))
+    c = counts.toPandas()
+    words = c["h"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, n = words[order], c["c"].to_numpy()[order]
+    got = maxent_lm.log10_scores(m, [t.encode() for t in texts[:3]], words, n)[3]
+    of = dict(zip(words.tolist(), n.tolist()))
+    v = m.vocabulary
+    head = dict(zip(v.head.tolist(), zip(v.head_class.tolist(), v.head_place.tolist())))
+    for i, t in enumerate(texts[:3]):
+        row, h, tail = maxent_lm.sequence([t.encode()])
+        one, two = maxent_lm.contexts(row, h)
+        total = 0.0
+        for j in range(len(h)):
+            cls, spot = head.get(int(h[j]), (maxent_lm.HEAD_CLASSES + int(tail[j]), -1))
+            z = sum(m.by_class[r[0]].astype(float) for r in maxent_lm.class_rows(one[j : j + 1], two[j : j + 1]))
+            total += z[cls] - np.log(np.exp(z).sum())
+            if spot >= 0:
+                z = sum(m.by_word[r[0]].astype(float) for r in maxent_lm.word_rows(one[j : j + 1], np.array([cls])))
+                total += z[spot] - np.log(np.exp(z).sum())
+            else:
+                k = cls - maxent_lm.HEAD_CLASSES
+                total += np.log((of.get(int(h[j]), 0) + 0.1) / (v.tail_total[k] + 0.1 * (v.tail_distinct[k] + 1)))
+        assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
