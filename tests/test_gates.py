@@ -63,3 +63,56 @@ def test_state_leaves_out_what_was_minted_later(spark):
     e = spark.createDataFrame([(1, "y", "test.run", "confirm", True, 6), (2, "y", "test.run", "confirm", True, 6), (1, "y", "test.run", "confirm", True, 8)], "claim_id long, author string, oracle string, result string, resolved boolean, t int")
     got = {r.claim_id: r.val for r in ledger.state_at(claims, e, 6).collect()}
     assert set(got) == {1, 3} and got[3] == 0.5 and got[1] == pytest.approx(1.8 / 2.8)
+
+
+def test_styles_by_hand(spark):
+    from quillon.operators import styles
+
+    schema = "id int, hues array<double>, palette int, spacing array<double>, base double, fonts array<string>, radii array<double>, radius_levels int, shadow_levels int"
+    stock = (1, [217.0, 239.0], 2, [8.0, 16.0, 32.0], 8.0, ["a"], [12.0], 1, 1)
+    other = (2, [30.0], 1, [5.0, 7.0], 5.0, ["x", "y"], [3.0], 3, 4)
+    bare = (3, [], 0, [], 0.0, [], [], 0, 0)
+    df = spark.createDataFrame([stock, other, bare], schema)
+    got = {r.id: r.n for r in df.withColumn("n", styles.nearest_template()).collect()}
+    assert (got[1].distance, got[1].name) == (0.0, "tailwind-default") and got[2].distance > 0.4 and got[3] is None
+    cols = [c for c in df.columns if c != "id"]
+    pair = df.where("id = 1").select(F.struct(*cols).alias("a")).crossJoin(df.where("id = 2").select(F.struct(*cols).alias("b")))
+    palette = ((173 + 151) / 2 + 151) / 2 / 180
+    spacing = (min(1, abs(0.678071905) / 2) + 1 - 0.0) / 2
+    want = (round(palette, 3) + round(spacing, 3) + 1 + round((1 + 2 / 3) / 2, 3) + 1) / 5
+    assert pair.select(styles.conformance("a", "b").alias("d")).first().d == pytest.approx(want, abs=0.051)
+    same = df.where("id = 1").select(F.struct(*cols).alias("a"), F.struct(*cols).alias("b"))
+    assert same.select(styles.conformance("a", "b").alias("d")).first().d == 0.0
+
+
+def test_lesson_fold_against_a_loop(spark):
+    import random
+
+    from quillon.operators import styles
+
+    def plain(events):
+        status, up, down, back, last = "candidate", 0, 0, 0, 0
+        for day, ok in events:
+            if status == "retired":
+                continue
+            if ok:
+                up, last = up + 1, day
+                if status == "quarantined":
+                    back += 1
+                    if back >= 2:
+                        status, back = "active", 0
+                else:
+                    status, back = "active", 0
+            else:
+                down += 1
+                if status == "quarantined":
+                    status = "retired"
+                elif 0.5 ** (max(0, day - last) / 45) * (1 + up) / (2 + up + down) < 0.3:
+                    status = "quarantined"
+        return status, up, down
+
+    rng = random.Random(1)
+    rows = [(i, [(d, rng.random() < 0.6) for d in sorted(rng.randrange(90) for _ in range(rng.randrange(14)))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, es array<struct<day: int, confirm: boolean>>")
+    got = {r.id: (r.s.status, r.s.confirmed, r.s.contradicted) for r in df.withColumn("s", styles.lesson_state(F.col("es"))).collect()}
+    assert got == {i: plain(e) for i, e in rows}
