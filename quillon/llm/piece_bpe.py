@@ -111,8 +111,8 @@ class PieceModel:
         self.bare: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        """Drop the words that a task has remembered; the model and a bounded number of pairs stay with the worker."""
-        self.cache, self.older, self.bare = {}, {}, {}
+        """Drop what a task has remembered; the model itself stays with the worker."""
+        self.fits, self.cache, self.older, self.bare = {}, {}, {}, {}
 
     def merge(self, text: str) -> list[str]:
         """Merging by score, best pair first, leftmost on ties: the reference for short strings."""
