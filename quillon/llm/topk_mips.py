@@ -7,7 +7,8 @@ Cauchy-Schwarz, |q| |v| below that floor rules a vector out, so a query meets on
 prefix of the bands.  Within a block the vectors go in order of length: both sides are
 rotated by the singular vectors of the data, the first coordinates give a partial sum,
 and |rest of q| |rest of v| bounds what is left; only pairs whose bound reaches the
-query's floor are scored, by an exact integer product.  Bounds carry a slack above the
+query's floor are scored, by an exact integer product (one matrix product for a block
+where most pairs are left; whole numbers of this size are exact in doubles).  Bounds carry a slack above the
 rounding of doubles, so no pair is lost.
 
 Rows whose id or vector is null, or with a null or non-finite component, take no part.
@@ -36,6 +37,8 @@ HEAD = 1_024
 FIRST = 0.25
 #: Vectors of a block that are bounded at once.
 STEP = 512
+#: Where more than one in ``DENSE`` pairs is still open, all are scored by one matrix product.
+DENSE = 16
 #: Components up to here have exact products in doubles (dimension up to 2**13).
 SMALL = 1 << 20
 
@@ -81,6 +84,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndar
     qrest, vrest = np.sqrt((qr[:, w:] ** 2).sum(1)), np.sqrt((vr[:, w:] ** 2).sum(1))
     floor = floor.astype(np.float64).copy()
     repeats = len(np.unique(vid)) < len(vid)
+    small = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) <= SMALL
     held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, np.int64),) * 3
     for lo in range(0, len(v), STEP):
         hi = min(lo + STEP, len(v))
@@ -89,13 +93,20 @@ def search_block(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndar
         if not len(live):
             break
         bound = qr[live, :w] @ vr[lo:hi, :w].T + np.outer(qrest[live], vrest[lo:hi]) + slack[live, None]
-        a, b = np.nonzero(bound >= floor[live, None])
-        a = live[a]
-        other = qid[a] != vid[lo + b]
-        a, b = a[other], b[other]
-        if not len(a):
+        open_ = (bound >= floor[live, None]) & (qid[live, None] != vid[None, lo:hi])
+        rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(rows):
             continue
-        s = np.concatenate([exact_scores(q[a[i : i + 65536]], v[lo + b[i : i + 65536]]) for i in range(0, len(a), 65536)])
+        if small and open_.sum() * DENSE > len(rows) * len(cols):  # most pairs are open: one exact product for all of them
+            whole = q[live[rows]] @ v[lo + cols].T
+            a, b = np.nonzero(open_[np.ix_(rows, cols)] & (whole >= floor[live[rows], None]))
+            s, a, b = whole[a, b].astype(np.int64), live[rows[a]], cols[b]
+        else:
+            a, b = np.nonzero(open_)
+            a = live[a]
+            s = np.concatenate([exact_scores(q[a[i : i + 65536]], v[lo + b[i : i + 65536]]) for i in range(0, len(a), 65536)])
+            kept = s.astype(np.float64) >= floor[a] * (1 - 1e-12) - 1e-6
+            a, b, s = a[kept], b[kept], s[kept]
         held = _best(np.concatenate((held[0], a)), np.concatenate((held[1], vid[lo + b])), np.concatenate((held[2], s)), k, repeats)
         full = np.flatnonzero(np.bincount(held[0], minlength=len(q)) >= k)
         ends = np.searchsorted(held[0], full, side="right") - 1

@@ -233,3 +233,22 @@ def test_language_model_scores_by_hand(spark):
                 k = cls - maxent_lm.HEAD_CLASSES
                 total += np.log((of.get(int(h[j]), 0) + 0.1) / (v.tail_total[k] + 0.1 * (v.tail_distinct[k] + 1)))
         assert got[i] == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+@pytest.mark.parametrize("big", [1.0, 30_000.0])
+def test_top_k_in_small_blocks_with_unequal_lengths(spark, monkeypatch, big):
+    import numpy as np
+
+    for name, value in {"HEAD": 16, "BLOCK": 40, "QUERIES": 3, "BANDS": 6, "STEP": 8}.items():
+        monkeypatch.setattr(topk_mips, name, value)
+    rng = np.random.default_rng(11)
+    v = [[float(x) * big * (1 + i % 7) for x in rng.normal(size=3 + i % 4) - 0.4] for i in range(420)]
+    v[60] = v[61] = v[100]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(x * 256)) for x in row] for row in v]
+    want = []
+    for i in range(0, 420, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[i], w)), j) for j, w in enumerate(whole) if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    got = topk_mips.top_k(df).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want
