@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -64,9 +65,17 @@ def drop_stored(*frames: DataFrame, settle_: bool = True) -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Let the driver's collectors see which jobs' shuffle files nothing refers to any more; Spark then deletes those."""
+    """Let the driver's collectors see which jobs' shuffle files nothing refers to any more; Spark then deletes those.
+
+    Python's dropped frames are released to the JVM by a thread of their own, so that is waited for (at most two seconds).
+    """
     gc.collect()
+    released = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    until = time.monotonic() + 2
+    while released and time.monotonic() < until:
+        time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
 
 
 def spans(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
