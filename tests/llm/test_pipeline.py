@@ -5,7 +5,7 @@ from quillon.llm import jaccard_join, pii, registry
 
 
 def test_registry_has_every_operator():
-    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf):
