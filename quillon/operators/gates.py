@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import clamp01, noisy_or
 
+#: The folder in which a tool keeps its own state, and the files there that count as documents; parameters of every gate.
+STATE_FOLDER = ".ledger/"
+STATE_FILES = ("state.md", "decisions.md")
 # Path rules, in the order in which they are tried.
-STATE_FILES = (".forge/state.md", ".forge/decisions.md")
-INTERNAL = r"^\.forge/|(?i:(^|/)(agents|claude|gemini)\.md$)"
+INTERNAL = r"(?i:(^|/)(agents|claude|gemini)\.md$)"
 DOCS = r"\.md$"
 TESTS = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*\.py$|\.(test|spec)\.[a-z]+$"
 CONFIGS = r"\.(ya?ml|toml|json|ini)$|(^|/)(Dockerfile|Makefile)$"
@@ -32,16 +34,16 @@ ASK_BELOW = 0.6
 BLAST = 25
 
 
-def path_class(path: Column) -> Column:
+def path_class(path: Column, folder: str = STATE_FOLDER) -> Column:
     p = F.regexp_replace(path, r"\\", "/")
     return (
-        F.when(p.isin(*STATE_FILES), "docs").when(p.rlike(INTERNAL), "internal").when(p.rlike(DOCS), "docs").when(p.rlike(TESTS), "test").when(p.rlike(CONFIGS), "config").when(p.rlike(CODE), "code").otherwise("other")
+        F.when(p.isin(*(folder + f for f in STATE_FILES)), "docs").when(p.startswith(folder) | p.rlike(INTERNAL), "internal").when(p.rlike(DOCS), "docs").when(p.rlike(TESTS), "test").when(p.rlike(CONFIGS), "config").when(p.rlike(CODE), "code").otherwise("other")
     )
 
 
-def stop_gate(changed: DataFrame, by: str, path: str, verified: str, state_touched: str) -> DataFrame:
+def stop_gate(changed: DataFrame, by: str, path: str, verified: str, state_touched: str, folder: str = STATE_FOLDER) -> DataFrame:
     """``by, allow, row``: the first row of the ordered decision table that holds for the changed paths of each group."""
-    c = changed.withColumn("_c", path_class(F.col(path)))
+    c = changed.withColumn("_c", path_class(F.col(path), folder))
     n = {k: F.count_if(F.col("_c") == k).alias(k) for k in ("code", "test", "config", "docs", "internal")}
     g = c.groupBy(by).agg(*n.values(), F.count(path).alias("all"), F.bool_or(verified).alias("verified"), F.bool_or(state_touched).alias("state"))
     tested = F.col("verified") | (F.col("test") > 0)
@@ -59,9 +61,9 @@ def stop_gate(changed: DataFrame, by: str, path: str, verified: str, state_touch
     return g.withColumn("row", row).select(by, (~F.col("row").isin("code-without-test-evidence", "code-without-docs", "config-without-docs")).alias("allow"), "row")
 
 
-def commit_gate(staged: DataFrame, by: str, path: str, secret: str, mode: str = "warn") -> DataFrame:
+def commit_gate(staged: DataFrame, by: str, path: str, secret: str, mode: str = "warn", folder: str = STATE_FOLDER) -> DataFrame:
     """``by, row``: blocked by a secret in any mode but off, and in mode block by code without docs; warned or clean otherwise."""
-    c = path_class(F.col(path))
+    c = path_class(F.col(path), folder)
     g = staged.groupBy(by).agg(F.bool_or(secret).alias("secret"), ((F.count_if(c == "code") > 0) & (F.count_if(c == "docs") == 0)).alias("bare"))
     blocked = F.col("secret") | (F.col("bare") & F.lit(mode == "block"))
     row = F.when(F.lit(mode == "off"), "kill-switch").when(blocked, "blocked").when(F.col("bare"), "warned").otherwise("clean")

@@ -105,10 +105,10 @@ def a3_author_trust(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT *, sha256(concat_ws('|', claim_id, author, oracle, result, t)) AS h FROM ({EVIDENCE}))
-SELECT DISTINCT claim_id, h FROM e WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
+SELECT DISTINCT claim_id, h FROM e""")
 def a5_merge_replicas(spark, sf):
     e = evidence(spark, sf).withColumn("h", F.sha2(F.concat_ws("|", "claim_id", "author", "oracle", "result", "t"), 256))
-    return ledger.merged(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0")).select("claim_id", "h")
+    return ledger.merged(e.where("event_id % 3 <> 0"), e.where("event_id % 3 <> 1")).select("claim_id", "h")
 
 
 @query(f"""WITH e AS (SELECT *, sha256(CAST(event_id AS VARCHAR)) AS h FROM ({EVIDENCE}))
@@ -260,11 +260,11 @@ def j8_price_windows(spark, sf):
     return sequences.price_windows(o, w, "day").groupBy("key").agg(F.sum("price").alias("total"), F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0), d AS (SELECT c_custkey AS id, concat('new ', c_name) AS name FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT c_custkey AS id, concat('new ', c_name) AS name FROM customer WHERE c_custkey % 3 <> 1)
 SELECT * FROM c UNION ALL SELECT * FROM d WHERE id NOT IN (SELECT id FROM c)""")
 def u3_left_wins(spark, sf):
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return ledger.left_wins(c.where("id % 2 = 0"), c.where("id % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name")), "id")
+    return ledger.left_wins(c.where("id % 3 <> 0"), c.where("id % 3 <> 1").withColumn("name", F.concat(F.lit("new "), "name")), "id")
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")

@@ -9,9 +9,9 @@ from ..operators import ledger, merge, metrics
 from ..operators import upkeep as K
 from .catalog import _CONF, CLAIMS, EVIDENCE, NOW, WEIGHTS, _conf_sql, claims, evidence, query, r6, read
 
-_PATH = "CASE p_partkey % 9 WHEN 0 THEN concat('src/', p_brand, '.js') WHEN 1 THEN concat('docs/', p_partkey, '.md') WHEN 2 THEN 'test/a.test.js' WHEN 3 THEN 'ci/x.yml' WHEN 4 THEN '.forge/tmp' WHEN 5 THEN '.forge/state.md' WHEN 6 THEN 'AGENTS.md' WHEN 7 THEN 'lib/test_b.py' ELSE concat('bin/', p_name) END"
-_CLASS = f"CASE WHEN path IN {G.STATE_FILES} THEN 'docs' WHEN starts_with(path, '.forge/') OR regexp_matches(path, '(?i)(^|/)(agents|claude|gemini)\\.md$') THEN 'internal' WHEN ends_with(path, '.md') THEN 'docs' WHEN regexp_matches(path, '{G.TESTS}') THEN 'test' WHEN regexp_matches(path, '{G.CONFIGS}') THEN 'config' WHEN regexp_matches(path, '{G.CODE}') THEN 'code' ELSE 'other' END"
-_PARTS = f"SELECT p_partkey, p_partkey % 200 AS g, p_size, {_PATH} AS path, p_partkey % 13 = 0 AS flag FROM part WHERE p_partkey % 9 <> (p_partkey % 200) % 9 OR p_size > 25"
+_PATH = "CASE p_partkey % 9 WHEN 0 THEN concat('src/', p_brand, '.js') WHEN 1 THEN concat('docs/', p_partkey, '.md') WHEN 2 THEN 'test/a.test.js' WHEN 3 THEN 'ci/x.yml' WHEN 4 THEN '.ledger/tmp' WHEN 5 THEN '.ledger/state.md' WHEN 6 THEN 'AGENTS.md' WHEN 7 THEN 'lib/test_b.py' ELSE concat('bin/', p_name) END"
+_CLASS = f"CASE WHEN path IN {tuple(G.STATE_FOLDER + f for f in G.STATE_FILES)} THEN 'docs' WHEN starts_with(path, '.ledger/') OR regexp_matches(path, '(?i)(^|/)(agents|claude|gemini)\\.md$') THEN 'internal' WHEN ends_with(path, '.md') THEN 'docs' WHEN regexp_matches(path, '{G.TESTS}') THEN 'test' WHEN regexp_matches(path, '{G.CONFIGS}') THEN 'config' WHEN regexp_matches(path, '{G.CODE}') THEN 'code' ELSE 'other' END"
+_PARTS = f"SELECT p_partkey, CAST(floor(p_partkey / 4) AS BIGINT) AS g, p_size, {_PATH} AS path, p_partkey % 13 = 0 AS flag FROM part"
 
 
 def _parts(spark, sf):
@@ -107,9 +107,10 @@ def m2_kill_criteria(spark, sf):
     return g.select("user_id", G.kill_criteria(F.col("n"), F.col("h"), F.col("l"), floor=0.2).alias("mode"))
 
 
-@query("SELECT user_id, bool_and(event_type <> 'error') AS ok FROM events WHERE event_id % 40 = user_id % 40 GROUP BY user_id")
+@query("SELECT CAST(floor(event_id / 4) AS BIGINT) AS run, bool_and(event_type <> 'error') AS ok FROM events GROUP BY 1")
 def a29_all_ok(spark, sf):
-    return G.all_ok(read(spark, sf, "events").where("event_id % 40 = user_id % 40").withColumn("good", F.col("event_type") != "error"), "user_id", "good")
+    e = read(spark, sf, "events").select(F.floor(F.col("event_id") / 4).alias("run"), (F.col("event_type") != "error").alias("good"))
+    return G.all_ok(e, "run", "good")
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS warnings, count(*) FILTER (event_type = 'error') = 0 AS ok FROM events GROUP BY user_id")
@@ -260,10 +261,10 @@ def u11_imported(spark, sf):
     return K.imported(c, read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "k", "day").withColumn("t", F.col("t").cast("long"))
 
 
-@query(f"SELECT DISTINCT claim_id, t FROM ({EVIDENCE}) WHERE event_id % 3 = 0 AND (claim_id, t) NOT IN (SELECT (claim_id, t) FROM ({EVIDENCE}) WHERE event_id % 2 = 0)")
+@query(f"SELECT DISTINCT claim_id, t FROM ({EVIDENCE}) WHERE event_id % 3 <> 1 AND (claim_id, t) NOT IN (SELECT (claim_id, t) FROM ({EVIDENCE}) WHERE event_id % 3 <> 0)")
 def u12_ratified(spark, sf):
     e = evidence(spark, sf).select("event_id", "claim_id", "t")
-    return K.appended(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["claim_id", "t"]).select("claim_id", F.col("t").cast("long").alias("t"))
+    return K.appended(e.where("event_id % 3 <> 0"), e.where("event_id % 3 <> 1"), ["claim_id", "t"]).select("claim_id", F.col("t").cast("long").alias("t"))
 
 
 _HOOK = "SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'Edit' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Write' WHEN 3 THEN NULL ELSE 'Read' END AS tool, CASE WHEN event_id % 15 = 3 THEN 'UserPromptSubmit' END AS hook, CASE WHEN event_id % 20 = 8 THEN concat('ask  ', event_type) END AS prompt, concat('f', event_id % 12) AS file FROM events"
@@ -275,12 +276,12 @@ def x3_event_kind(spark, sf):
     return spark.sql(_HOOK.replace("FROM events", "FROM _gates_events")).select("event_id", K.event_kind(F.col("tool"), F.col("hook"), F.col("prompt")).alias("type"))
 
 
-@query(rf"""WITH e AS (SELECT *, CASE WHEN tool IN ('Edit', 'Write') THEN 'edit' WHEN tool = 'Bash' THEN 'bash' WHEN prompt IS NOT NULL THEN 'prompt' END AS type FROM ({_HOOK}) WHERE user_id % 3 <> 0 OR event_id % 20 <> 8),
+@query(rf"""WITH e AS (SELECT *, CASE WHEN tool IN ('Edit', 'Write') THEN 'edit' WHEN tool = 'Bash' THEN 'bash' WHEN prompt IS NOT NULL THEN 'prompt' END AS type FROM ({_HOOK})),
  g AS (SELECT user_id AS sid, arg_min(regexp_replace(prompt, '\s+', ' ', 'g'), event_id) FILTER (type = 'prompt') AS gist, list_sort(list(DISTINCT file) FILTER (type = 'edit')) AS files, bool_or(type = 'bash' AND event_id % 2 = 0) AS tested FROM e GROUP BY user_id)
  SELECT sid, coalesce(gist, concat('touched ', array_to_string(files, ', '))) AS text, coalesce(array_to_string(files, ','), '') AS files, coalesce(tested, false) AS tested FROM g WHERE gist IS NOT NULL OR len(files) > 0""")
 def x9_session_summary(spark, sf):
     read(spark, sf, "events").createOrReplaceTempView("_gates_events")
-    e = spark.sql(_HOOK.replace("FROM events", "FROM _gates_events")).where("user_id % 3 <> 0 or event_id % 20 <> 8")
+    e = spark.sql(_HOOK.replace("FROM events", "FROM _gates_events"))
     e = e.withColumn("type", K.event_kind(F.col("tool"), F.lit(None).cast("string"), F.col("prompt")))
     return K.session_summaries(e.select(F.col("user_id").alias("sid"), F.col("event_id").alias("seq"), "type", "file", F.col("prompt").alias("text"), ((F.col("type") == "bash") & (F.col("event_id") % 2 == 0)).alias("tested")))
 
@@ -320,7 +321,7 @@ def u5_intersect(spark, sf):
 _KINDS = ("imports", "calls", "verified_by", "documented_by", "configures", "publishes")
 _REL = f"SELECT concat('n', n_nationkey) AS src, concat('n', (n_nationkey * 3 + 1) % 25) AS dst, CASE n_nationkey % 6 {' '.join(f'WHEN {i} THEN {chr(39)}{k}{chr(39)}' for i, k in enumerate(_KINDS))} END AS kind, 0.5 + 0.02 * n_nationkey AS confidence FROM nation UNION ALL SELECT concat('n', n_nationkey), concat('n', (n_nationkey * 7 + 2) % 25), 'calls', 0.9 FROM nation"
 _SEEDS = [("n0", "runtime", 0.8), ("n0", "contract", 0.5), ("n7", "config", 0.9), ("n7", "contract", 0.3)]
-_FIELD = f"""m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{t}', '{s}', {w}::DOUBLE)" for k, t, s, w in merge.carried())}) AS m(kind, dim2, dim, w)),
+_FIELD = f"""m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{t}', '{s}', {w}::DOUBLE)" for k, t, s, w in merge.CARRIES)}) AS m(kind, dim2, dim, w)),
  st AS (SELECT src, dst, dim, dim2, max(w * CAST(confidence AS DOUBLE) * 0.9) AS w FROM ({_REL}) JOIN m USING (kind) GROUP BY ALL),
  sg AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{d}', {v}::DOUBLE)" for a, d, v in _SEEDS)}) AS s(seed, dim, v)),
  r AS (SELECT seed, seed AS artifact, dim, v, 0 AS hops FROM sg UNION ALL SELECT seed, dst, dim2, max(v * st.w), hops + 1 FROM r JOIN st ON r.artifact = st.src AND r.dim = st.dim WHERE hops < 30 GROUP BY seed, dst, dim2, hops),

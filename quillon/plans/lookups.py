@@ -130,10 +130,10 @@ def s17_index_lines(spark, sf):
     return i.withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE p_type IN ('PROMO', 'ECONOMY') AND p_size > 20")
+@query("SELECT p_partkey, p_type FROM part WHERE p_type IN ('PROMO', 'ECONOMY')")
 def j15_kind_in_set(spark, sf):
     kinds = spark.createDataFrame([("PROMO",), ("ECONOMY",)], "p_type string")
-    return read(spark, sf, "part").where("p_size > 20").join(F.broadcast(kinds), "p_type", "left_semi").select("p_partkey", "p_type")
+    return read(spark, sf, "part").join(F.broadcast(kinds), "p_type", "left_semi").select("p_partkey", "p_type")
 
 
 @query("""SELECT user_id, round(sum(value * pow(0.5, date_diff('hour', ts, (SELECT max(ts) FROM events)) / 24.0)), 4) AS weight FROM events GROUP BY user_id""")

@@ -75,7 +75,7 @@ _SCORED = f"SELECT *, {_WEIGHT} / (1 + exp(-(0.55 * rel + 0.15 * rec + 0.3 * val
 
 def _claims(spark, sf):
     read(spark, sf, "customer").createOrReplaceTempView("_recall_customer")
-    return spark.sql(_CLAIM.replace("FROM customer", "FROM _recall_customer").replace("100.0::DOUBLE", "100.0D").replace("96.0::DOUBLE", "96.0D"))
+    return spark.sql(_CLAIM.replace("FROM customer", "FROM _recall_customer").replace("100.0::DOUBLE", "100.0D").replace("96.0::DOUBLE", "96.0D").replace("/ 45.0)", "/ 45.0D)"))
 
 
 @query(f"SELECT id, round(score, 6) AS score, val < 0.35 AS dormant FROM ({_SCORED})")

@@ -77,8 +77,8 @@ def f4_named_files(spark, sf):
 
 @query(None)
 def x6_lesson_states(spark, sf):
-    """State of every user's lesson after all its events; an order-dependent fold, tested by a plain loop."""
-    e = read(spark, sf, "events").where("event_type in ('error', 'purchase')").withColumn("e", F.struct(F.unix_date(F.to_date("ts")).alias("day"), "event_id", (F.col("event_type") == "purchase").alias("confirm")))
+    """State of every user's lesson after all its events, errors against it and all others for it; an order-dependent fold, tested by a plain loop."""
+    e = read(spark, sf, "events").withColumn("e", F.struct(F.unix_date(F.to_date("ts")).alias("day"), "event_id", (F.col("event_type") != "error").alias("confirm")))
     g = e.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     return g.select("user_id", Y.lesson_state(F.col("es")).alias("s")).select("user_id", "s.status", "s.confirmed", "s.contradicted")
 

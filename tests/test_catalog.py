@@ -18,7 +18,7 @@ def duck(sf):
 
 def rows(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted([tuple(f"{r[i]:.4f}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in data])
+    return sorted([tuple(f"{r[i]:.6f}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in data])
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

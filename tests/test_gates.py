@@ -38,7 +38,7 @@ def test_merge_summary_by_hand(spark):
 
 
 def test_gate_rows(spark):
-    rows = [(1, "src/a.js", False, False), (2, "src/a.js", True, False), (3, "src/a.js", True, True), (4, "t/a.test.js", False, False), (5, ".forge/x", False, False), (6, "a.yml", False, False), (7, "README.md", False, False), (8, "data.bin", False, False), (9, "src/a.js", False, False), (9, "b.md", False, False)]
+    rows = [(1, "src/a.js", False, False), (2, "src/a.js", True, False), (3, "src/a.js", True, True), (4, "t/a.test.js", False, False), (5, ".ledger/x", False, False), (6, "a.yml", False, False), (7, "README.md", False, False), (8, "data.bin", False, False), (9, "src/a.js", False, False), (9, "b.md", False, False)]
     df = spark.createDataFrame(rows, "g int, path string, verified boolean, state boolean")
     got = {r.g: (r.allow, r.row) for r in gates.stop_gate(df, "g", "path", "verified", "state").collect()}
     assert got == {
