@@ -39,7 +39,7 @@ _WIDE = re.compile(r"[^\x00-\x7f]")
 _SIGNS = re.compile(r"[!?]")
 _MANY = re.compile(r"[!?.]{2,}")
 _STRETCHED = re.compile(r"([^\W\d])\1\1")
-_HIDDEN = re.compile(r"[^\W\d_]+[*@$#0-9][^\W_]*[^\W\d_]")
+_HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*@$#0-9][^\W_]*[^\W\d_]")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, "#": None, "-": None, ".": None})
 FEATURES = ("log_words", "hits", "hit_density", "weight", "max_weight", "prefix_hits", "prefix_density", "distinct_hits", "near_you", "you_density", "capitals", "all_caps", "signs", "many_signs", "stretched", "hidden", "hidden_hits")
 
