@@ -1,27 +1,11 @@
-"""Iterative graph operators on edge tables; each round is a checkpoint in the shared folder."""
+"""Iterative graph operators on edge tables: one job a round, whose table is kept in the shared folder until the next."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of this machine only where Spark runs on it alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/quillon-shared"
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Durable checkpoint: lineage stays short and a lost executor costs one round."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+from ..sources.rounds import Rounds
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60, tol: float = 1e-9) -> DataFrame:
@@ -29,60 +13,77 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
     Self-edges and edges to unknown nodes are dropped, parallel edges add up.
     """
-    nodes = nodes.select("id").distinct()
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
+    kept = Rounds(nodes.sparkSession, "page-rank")
+    nodes = kept.keep(nodes.select("id").distinct())
+    n = kept.seen["n"]
     e = edges.where("src <> dst and w > 0").join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     e = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
-    e = _cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
-    rank = _cut(nodes.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
-    for _ in range(rounds):
-        loose = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        base = (1 - damping) / n + damping * loose / n
+    e = kept.keep(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    loose = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
+    sources = e.select(F.col("src").alias("id"), F.lit(False).alias("dangling")).distinct()
+    rank = kept.keep(nodes.join(sources, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")), loose=loose)
+    for _ in range(rounds if n else 0):
+        base = (1 - damping) / n + damping * kept.seen["loose"] / n
         got = e.join(rank, e["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("x"))
         new = rank.join(got, rank["id"] == got["dst"], "left").select("id", "dangling", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("x", F.lit(0.0))).alias("rank"))
-        new = _cut(new)
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.drop("old")
-        if moved < tol:
+        new = kept.keep(new, loose=loose, moved=F.sum(F.abs(F.col("rank") - F.col("old"))))
+        kept.drop(rank)
+        rank = new
+        if kept.seen["moved"] < tol:
             break
-    return rank.select("id", "rank")
+    return kept.result(rank.select("id", "rank"))
 
 
 def impact(edges: DataFrame, starts: DataFrame, decay: float = 0.85, threshold: float = 0.1, hops: int = 6) -> DataFrame:
     """``id, strength, hops``: best product of edge confidences on a path to a start, walked backwards.
 
-    Edges are ``src, dst, w`` (src depends on dst); starts are never entered again.
+    Edges are ``src, dst, w`` (src depends on dst); starts are never entered again.  Of equally strong paths the one found first counts.
     """
-    starts = starts.select("id").distinct()
-    best = _cut(starts.select("id", F.lit(1.0).alias("strength"), F.lit(0).alias("hops")))
-    front = best
+    kept = Rounds(edges.sparkSession, "impact")
+    e = kept.keep(edges.groupBy(F.col("dst").alias("id"), F.col("src").alias("to")).agg(F.max("w").alias("w")).where("w is not null"))
+    best = kept.keep(starts.select("id").distinct().select("id", F.lit(1.0).alias("strength"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
     for hop in range(1, hops + 1):
-        step = front.join(edges, front["id"] == edges["dst"]).select(F.col("src").alias("id"), (F.col("strength") * F.col("w") * decay).alias("strength"))
-        step = step.where(F.col("strength") >= threshold).groupBy("id").agg(F.max("strength").alias("strength")).join(starts, "id", "left_anti")
-        known = best.select("id", F.col("strength").alias("had"))
-        front = _cut(step.join(known, "id", "left").where(F.col("had").isNull() | (F.col("strength") > F.col("had"))).select("id", "strength", F.lit(hop).alias("hops")))
-        if front.isEmpty():
+        step = best.where("fresh").join(e, "id").select(F.col("to").alias("id"), (F.col("strength") * F.col("w") * decay).alias("offer"))
+        step = step.where(F.col("offer") >= threshold).groupBy("id").agg(F.max("offer").alias("offer"))
+        both = best.drop("fresh").join(step, "id", "full_outer")
+        better = (F.coalesce("hops", F.lit(hop)) > 0) & F.coalesce(F.col("offer") > F.coalesce("strength", F.lit(0.0)), F.lit(False))
+        new = both.select("id", F.when(better, F.col("offer")).otherwise(F.col("strength")).alias("strength"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), better.alias("fresh"))
+        new = kept.keep(new, fresh=F.count_if(F.col("fresh")))
+        kept.drop(best)
+        best = new
+        if not kept.seen["fresh"]:
             break
-        best = _cut(best.join(front.select("id"), "id", "left_anti").union(front))
-    return best.join(starts, "id", "left_anti")
+    return kept.result(best.where("hops > 0").select("id", "strength", "hops"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, component`` (the smallest id reachable) by min-labels with pointer jumping."""
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    label = _cut(nodes.select("id", F.col("id").alias("component")).distinct())
+    """``id, component`` (the smallest id reachable).
+
+    Every id holds a label, at first itself.  In a round each edge offers the label's label of its one end to the other end and
+    to that end's label, and every id takes the least of its offers, so trees of labels merge and flatten at once.
+    """
+    kept = Rounds(nodes.sparkSession, "components")
+    out = kept.result(labelled(kept, nodes, edges))
+    return out
+
+
+def labelled(kept: Rounds, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rounds of ``components`` in a run that others go on with."""
+    both = kept.keep(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    label = kept.keep(nodes.select("id", F.col("id").alias("label")).distinct())
     while True:
-        low = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        new = label.join(low, label["id"] == low["src"], "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("j"))
-        new = _cut(new.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("j", "component")).alias("component")))
-        changed = new.where("old <> component").limit(1).count()
-        label = new.drop("old")
-        if not changed:
-            return label
+        up = label.select(F.col("id").alias("label"), F.col("label").alias("above"))
+        near = label.join(up, "label")
+        low = both.join(near.select(F.col("id").alias("dst"), F.col("above").alias("m")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("m").alias("m"))
+        met = near.join(low, "id", "left")
+        own = met.select("id", F.least("above", "m").alias("x"), F.col("label").alias("old"))
+        offers = own.union(met.where("m is not null").select("label", "m", F.lit(None)))
+        new = kept.keep(offers.groupBy("id").agg(F.min("x").alias("label"), F.max("old").alias("old")), moved=F.count_if(F.col("label") != F.col("old")))
+        kept.drop(label)
+        label = new
+        if not kept.seen["moved"]:
+            return label.select("id", F.col("label").alias("component"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -91,29 +92,31 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Forward colours: every node takes the largest id that reaches it.  A colour's own node
     together with the nodes of that colour that reach it is a component; the rest goes on.
     """
-    live = _cut(edges.select("src", "dst").where("src <> dst").distinct())
-    done = None
-    while not live.isEmpty():
+    kept = Rounds(edges.sparkSession, "strong-components")
+    live = kept.keep(edges.select("src", "dst").where("src <> dst").distinct())
+    done = live.select(F.col("src").alias("id"), F.col("dst").alias("component")).where("false")
+    while kept.seen["n"]:
         nodes = live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
-        colour = _cut(nodes.select("id", F.col("id").alias("c")))
+        colour = kept.keep(nodes.select("id", F.col("id").alias("c")))
         while True:
             got = live.join(colour, live["src"] == colour["id"]).groupBy("dst").agg(F.max("c").alias("m"))
-            new = _cut(colour.join(got, colour["id"] == got["dst"], "left").select("id", F.greatest("c", "m").alias("c"), (F.col("m") > F.col("c")).alias("up")))
-            moved = new.where("up").limit(1).count()
-            colour = new.drop("up")
-            if not moved:
-                break
-        inside = live.join(colour.withColumnRenamed("id", "src"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("c = cd").select("src", "dst", "c")
-        inside = _cut(inside)
-        back = front = _cut(colour.where("id = c"))
-        while True:
-            step = inside.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            front = _cut(step.join(back, ["id", "c"], "left_anti"))
-            if front.isEmpty():
+            new = colour.join(got, colour["id"] == got["dst"], "left").select("id", F.greatest("c", "m").alias("c"), F.col("c").alias("old"))
+            new = kept.keep(new, moved=F.count_if(F.col("c") != F.col("old")))
+            kept.drop(colour)
+            colour = new
+            if not kept.seen["moved"]:
                 break
-            back = _cut(back.union(front.select("id", "c")))
+        inside = live.join(colour.select(F.col("id").alias("src"), "c"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("c = cd").select("src", "dst", "c")
+        inside = kept.keep(inside)
+        back = kept.keep(colour.where("id = c").select("id", "c", F.lit(True).alias("fresh")))
+        while kept.seen.get("fresh", kept.seen["n"]):
+            step = inside.join(back.where("fresh").select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c", F.lit(True).alias("fresh"))
+            new = back.withColumn("fresh", F.lit(False)).union(step).groupBy("id", "c").agg(F.min("fresh").alias("fresh"))
+            new = kept.keep(new, fresh=F.count_if(F.col("fresh")))
+            kept.drop(back)
+            back = new
         found = back.join(back.groupBy("c").agg(F.count("*").alias("k")).where("k > 1"), "c", "left_semi").select("id", F.col("c").alias("component"))
-        done = _cut(found if done is None else done.union(found))
+        done = kept.keep(done.union(found))
         left = live.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
-        live = _cut(left.select("src", "dst"))
-    return done if done is not None else live.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+        live = kept.keep(left.select("src", "dst"))
+    return kept.result(done)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, texts
 from ..operators import decisions, ledger, sessions, sketches
-from ..operators.graph import shared_folder
 from ..sources import logs
+from ..sources.rounds import shared_folder
 from ..streaming import events as live
 from .catalog import _CONF, EVIDENCE, METRICS, NOW, WEIGHTS, evidence, metric_rows, query, r6, read
 
