@@ -1,4 +1,4 @@
-"""MinHash sketches, band keys and the reuse ladder."""
+"""MinHash sketches and band keys."""
 
 from __future__ import annotations
 
@@ -6,10 +6,9 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
-from pyspark.sql.window import Window
 
 
 # Lanes, hash constants, bands of lanes, and the ladder's limits.
@@ -69,26 +68,3 @@ def agreement(a: str, b: str) -> Column:
 def band_keys(sk: str) -> Column:
     rows = LANES // BANDS
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat(b.cast("string"), F.lit(":"), F.substring(F.sha2(F.array_join(F.slice(F.col(sk), b * rows + 1, F.lit(rows)), ","), 256), 1, 16)))
-
-
-def reuse_ladder(queries: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """``query_id, tier, artifact_id, sim``: the best artifact that shares a band with each query.
-
-    Both sides are ``id, text``; an artifact with the query's id is the query's own and is no answer.
-    Artifacts of equal sketches count once (the smallest id, or the next where that is the query's),
-    so copies do not multiply candidates; ties go to the smaller id.  Tier: exact (equal sketch),
-    near, adapt or miss.
-    """
-    w = Window.partitionBy("sk").orderBy("id")
-    known = artifacts.select("id", sketch(F.col("text")).alias("sk")).distinct().withColumn("_n", F.row_number().over(w)).where("_n <= 2")
-    known = known.groupBy("sk").agg(F.min("id").alias("_first"), F.max("id").alias("_second"))
-    q = queries.select(F.col("id").alias("query_id"), sketch(F.col("text")).alias("qs"))
-    left = q.select("query_id", "qs", F.explode(band_keys("qs")).alias("band"))
-    right = known.select("_first", "_second", "sk", F.explode(band_keys("sk")).alias("band"))
-    other = F.when(F.col("_first") != F.col("query_id"), F.col("_first")).when(F.col("_second") != F.col("query_id"), F.col("_second"))
-    hit = left.join(right, "band").select("query_id", other.alias("artifact_id"), agreement("qs", "sk").alias("sim")).where("artifact_id is not null")
-    best = hit.groupBy("query_id").agg(F.min_by(F.struct("artifact_id", "sim"), F.struct(-F.col("sim"), "artifact_id")).alias("b")).select("query_id", "b.*")
-    tier = F.when(F.col("sim") == 1, "exact").when(F.col("sim") >= NEAR, "near").when(F.col("sim") >= ADAPT, "adapt").otherwise("miss")
-    out = q.select("query_id").join(best, "query_id", "left").withColumn("tier", tier)
-    found = F.col("tier") != "miss"
-    return out.select("query_id", "tier", F.when(found, F.col("artifact_id")).alias("artifact_id"), F.when(found, F.col("sim")).alias("sim"))

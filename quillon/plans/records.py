@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import colour, texts
-from ..operators import decisions, ledger, sessions, sketches
+from ..operators import decisions, lanes, ledger, sessions, sketches
 from ..sources import logs
 from ..sources.rounds import shared_folder
 from ..streaming import events as live
@@ -230,4 +230,17 @@ def x7_stream_ring(spark, sf):
 @query(None)
 def r10_reuse_ladder(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return sketches.reuse_ladder(d.where("id % 50 = 0"), d)
+    return lanes.reuse_ladder(d.where("id % 50 = 0"), d)
+
+
+@query(None)
+def r11_clusters(spark, sf):
+    """Groups of documents whose sketches agree in 0.7 of the lanes, exactly."""
+    return lanes.clusters(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(None)
+def r9_band_keys(spark, sf):
+    """Digest of every document's sketch, and its first band key."""
+    d = read(spark, sf, "documents").select("doc_id", sketches.sketch(F.col("text")).alias("sk"))
+    return d.select("doc_id", F.sha2(F.array_join("sk", ","), 256).alias("sketch_sha256"), sketches.band_keys("sk")[0].alias("band"))

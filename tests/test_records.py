@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions import colour, texts
-from quillon.operators import decisions, sessions, sketches
+from quillon.operators import decisions, lanes, sessions, sketches
 
 
 def one(spark, column, **values):
@@ -72,7 +72,7 @@ def test_sketch_and_ladder_against_brute_force(spark):
     d = spark.createDataFrame(rows, "id long, text string")
     got = {r.id: r.s for r in d.select("id", sketches.sketch(F.col("text")).alias("s")).collect()}
     assert all(got[i] == plain_sketch(t or "") for i, t in rows)
-    ladder = {r.query_id: r for r in sketches.reuse_ladder(d.where("id in (1, 3, 6)"), d.where("id in (2, 4, 5)")).collect()}
+    ladder = {r.query_id: r for r in lanes.reuse_ladder(d.where("id in (1, 3, 6)"), d.where("id in (2, 4, 5)")).collect()}
     assert (ladder[1].tier, ladder[1].artifact_id) == ("exact", 2)
     sim = float(np.mean(np.array(got[3]) == np.array(got[2])))
     assert ladder[3].tier == ("near" if sim >= 0.8 else "adapt" if sim >= 0.6 else "miss")
