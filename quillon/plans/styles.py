@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, graph, metrics
+from ..operators import css, gates, graph, metrics
 from ..operators import retrieval as R
 from ..operators import styles as Y
 from .catalog import CLAIMS, NOW, _conf_sql, claims, evidence, query, r6, read
@@ -51,6 +51,31 @@ def f45_conformance(spark, sf):
     return both.select("p_partkey", "conform", Y.gate(F.col("slop"), F.col("conform")).alias("violation"))
 
 
+_CSS = """concat(':root{--s:', p_size, 'px;--c:rgb(', p_partkey * 37 % 256, ', ', p_partkey * 91 % 256, ', ', p_size * 5 % 256, ');--r:var(--s)} .x{padding:var(--s) 8px;gap:1rem;color:var(--c);border-radius:var(--r);font-family:"', p_type, '",serif;box-shadow:0 1px ', p_size % 3, 'px var(--no, red)}')"""
+_HSL = """WITH c AS (SELECT *, p_partkey * 37 % 256 / 255.0::DOUBLE AS r, p_partkey * 91 % 256 / 255.0::DOUBLE AS g, p_size * 5 % 256 / 255.0::DOUBLE AS b FROM part),
+ m AS (SELECT *, greatest(r, g, b) AS x, greatest(r, g, b) - least(r, g, b) AS d, (greatest(r, g, b) + least(r, g, b)) / 2 AS k FROM c),
+ f AS (SELECT p_partkey, p_size, p_type, CAST(floor(60 * CASE WHEN d = 0 THEN 0 WHEN x = r THEN ((g - b) / d + 6) % 6 WHEN x = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END + 0.5) AS BIGINT) % 360 AS h,
+  CAST(floor(CASE WHEN d = 0 THEN 0 ELSE d / (1 - abs(2 * k - 1)) END * 100 + 0.5) AS BIGINT) AS s, list_sort(list_distinct([p_size::DOUBLE, 8.0::DOUBLE, 16.0::DOUBLE])) AS v FROM m)"""
+
+
+@query(f"""{_HSL} SELECT p_partkey, CASE WHEN s >= 10 THEN CAST(h AS VARCHAR) ELSE '' END AS hues, 1 AS palette, array_to_string(list_transform(v, lambda z: CAST(CAST(z AS INTEGER) AS VARCHAR)), ',') AS spacing,
+ CASE WHEN list_sum(list_transform(v, lambda z: abs(z - floor(z / 8 + 0.5) * 8))) <= 0.5 * len(v) THEN 8 WHEN list_sum(list_transform(v, lambda z: abs(z - floor(z / 4 + 0.5) * 4))) <= 0.5 * len(v) THEN 4 ELSE 2 END AS base,
+ lower(p_type) AS fonts, CAST(p_size AS VARCHAR) AS radii, 1 AS shadow_levels FROM f""")
+def f43_fingerprints(spark, sf):
+    """Fingerprints of a stylesheet for each part, read from its text."""
+    p = read(spark, sf, "part").select("p_partkey", F.expr(_CSS).alias("css"))
+    whole = lambda c: F.array_join(F.transform(c, lambda z: z.cast("int").cast("string")), ",")
+    f = css.fingerprints(p, "p_partkey", "css")
+    return f.select("p_partkey", whole("hues").alias("hues"), "palette", whole("spacing").alias("spacing"), F.col("base").cast("int").alias("base"), F.array_join("fonts", ",").alias("fonts"), whole("radii").alias("radii"), "shadow_levels")
+
+
+@query(f"SELECT p_partkey, concat('.x{{padding:', p_size, 'px 8px;gap:1rem;color:rgb(', p_partkey * 37 % 256, ', ', p_partkey * 91 % 256, ', ', p_size * 5 % 256, ');border-radius:', p_size, 'px;') AS css FROM part")
+def f18_resolved(spark, sf):
+    """The use of custom properties in a stylesheet for each part, up to the font."""
+    p = css.resolved(read(spark, sf, "part").select("p_partkey", F.expr(_CSS).alias("css")), "css")
+    return p.select("p_partkey", F.regexp_extract("css", r"(\.x\{.*;)font-family", 1).alias("css"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 100 / 100.0 < 0.25 THEN 'slop' WHEN p_size / 50.0 > 0.5 THEN 'conform' END AS violation FROM part")
 def f46_ui_gate(spark, sf):
     return read(spark, sf, "part").select("p_partkey", Y.gate(F.expr("p_partkey % 100 / 100.0D"), F.expr("p_size / 50.0D")).alias("violation"))
