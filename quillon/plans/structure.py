@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import biconnected, context
-from ..sources import code
+from ..sources import code, replicas
 from ..sources.rounds import Rounds
 from .catalog import query, r6, read
 
@@ -101,3 +101,17 @@ def s9_code_graph(spark, sf):
     run, _, edges = _graph(spark, sf)
     g = edges.groupBy(F.regexp_extract("source", r"^(module:)?(s\d+)", 2).alias("file"), "kind")
     return run.result(g.agg(F.count("*").alias("n"), F.count_if("unresolved").alias("unresolved")))
+
+
+@query("SELECT substr(h, 1, 2) AS shard, count(DISTINCT h) AS n, true AS same FROM (SELECT sha256(concat(event_id, ':', event_type)) AS h FROM events) GROUP BY 1")
+def s18_synced(spark, sf):
+    """Two replicas that have two thirds of the events each, after they met: records in each partition, and whether both have the same."""
+    run = Rounds(spark, "replicas")
+    e = read(spark, sf, "events").select("event_id", F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("line")).withColumn("h", replicas.sealed(F.col("line")))
+    a, b = (replicas.Replica(spark, f"{run.folder}/{n}") for n in "ab")
+    a.append(e.where("event_id % 3 <> 0").select("h", "line"))
+    b.append(e.where("event_id % 3 <> 1").select("h", "line"))
+    replicas.sync(a, b)
+    x, y = (r.records().groupBy("shard").agg(F.count("*").alias(f"n{i}"), F.bit_xor(F.xxhash64("h")).alias(f"d{i}")) for i, r in enumerate((a, b)))
+    same = F.coalesce((F.col("n0") == F.col("n1")) & (F.col("d0") == F.col("d1")), F.lit(False))
+    return run.result(x.join(y, "shard", "full_outer").select("shard", F.coalesce("n0", "n1").alias("n"), same.alias("same")))
