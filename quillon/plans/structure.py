@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import biconnected, context
+from ..operators import biconnected, context, diffs, graph
 from ..sources import code, replicas
 from ..sources.rounds import Rounds
 from .catalog import query, r6, read
@@ -115,3 +115,65 @@ def s18_synced(spark, sf):
     x, y = (r.records().groupBy("shard").agg(F.count("*").alias(f"n{i}"), F.bit_xor(F.xxhash64("h")).alias(f"d{i}")) for i, r in enumerate((a, b)))
     same = F.coalesce((F.col("n0") == F.col("n1")) & (F.col("d0") == F.col("d1")), F.lit(False))
     return run.result(x.join(y, "shard", "full_outer").select("shard", F.coalesce("n0", "n1").alias("n"), same.alias("same")))
+
+
+# --- diffs -----------------------------------------------------------------------------
+
+_DIFF = r"concat('diff --git a/x b/x\n--- a/src/', p_brand, '.js\n+++ b/src/', p_brand, '.js\n@@ -', p_size, ',2 +', p_size + 1, ',3 @@\n same\n-export function old', p_partkey % 50, '() {}\n+export function fn', p_partkey % 40, '() {}\n+process.env.V', p_size, '\n')"
+_KIND_PATH = "CASE p_partkey % 8 WHEN 0 THEN concat('src/', p_brand, '.js') WHEN 1 THEN concat('docs/', p_size, '.MD') WHEN 2 THEN concat('a/spec/', p_size, '.rb') WHEN 3 THEN '.github/workflows/x.yml' WHEN 4 THEN concat('p', p_size, '/package.json') WHEN 5 THEN concat('db/migrations/', p_size, '.sql') WHEN 6 THEN concat('conf/', p_brand, '.toml') ELSE concat('lib/', p_brand, '.test.ts') END"
+
+
+def _hunks(spark, sf):
+    d = read(spark, sf, "part").select("p_partkey", F.expr(_DIFF).alias("d"))
+    return diffs.hunk_lines(d, "p_partkey", "d")
+
+
+@query("""SELECT p_partkey, concat('src/', p_brand, '.js') AS file, x.op, CASE x.i WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 END AS old_line, CASE x.i WHEN 0 THEN p_size + 1 WHEN 2 THEN p_size + 2 WHEN 3 THEN p_size + 3 END AS new_line
+ FROM part, (VALUES (0, ' '), (1, '-'), (2, '+'), (3, '+')) AS x(i, op)""")
+def f10_hunk_lines(spark, sf):
+    return _hunks(spark, sf).drop("text")
+
+
+@query("""WITH cur AS (SELECT DISTINCT concat('fn', p_partkey % 40) AS name FROM part WHERE p_size % 2 = 0 AND p_partkey % 40 < 30)
+ SELECT p_partkey, 'symbol' AS type, concat('fn', p_partkey % 40) AS name, concat('fn', p_partkey % 40) NOT IN (SELECT name FROM cur) AS removed FROM part
+ UNION ALL SELECT p_partkey, 'symbol', concat('old', p_partkey % 50), true FROM part
+ UNION ALL SELECT p_partkey, 'env', concat('V', p_size), true FROM part WHERE length(concat('V', p_size)) >= 2""")
+def f34_changed_entities(spark, sf):
+    now = read(spark, sf, "part").where("p_size % 2 = 0 AND p_partkey % 40 < 30").select(F.concat(F.lit("src/"), "p_brand", F.lit(".js")).alias("file"), F.concat(F.lit("export const fn"), (F.col("p_partkey") % 40).cast("string"), F.lit(" = 1")).alias("text"))
+    return diffs.changed_entities(_hunks(spark, sf), "p_partkey", diffs.entities(now))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 8 IN (2, 7) THEN 'test' WHEN p_partkey % 8 = 1 THEN 'documentation' WHEN p_partkey % 8 = 3 THEN 'workflow' WHEN p_partkey % 8 = 4 THEN 'manifest' WHEN p_partkey % 8 = 5 THEN 'schema' WHEN p_partkey % 8 = 6 THEN 'config' ELSE 'source' END AS kind FROM part")
+def p11_artifact_kind(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", diffs.artifact_kind(F.expr(_KIND_PATH)).alias("kind"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey, {_KIND_PATH} AS artifact, p_size FROM part)
+ SELECT p_partkey, artifact, CASE WHEN p_partkey % 8 IN (2, 7) THEN 'test' WHEN p_partkey % 8 = 1 THEN 'docs' WHEN p_partkey % 8 = 3 THEN 'ci' WHEN p_partkey % 8 = 4 THEN 'dependency' WHEN p_partkey % 8 = 5 THEN 'schema' WHEN p_size % 3 = 0 THEN 'public_api' WHEN p_partkey % 8 = 6 THEN 'config' ELSE 'logic' END AS kind, 2 AS lines FROM x""")
+def p11_changed_files(spark, sf):
+    text = F.when(F.col("p_size") % 3 == 0, "export class A").otherwise("let b")
+    h = read(spark, sf, "part").select("p_partkey", F.expr(_KIND_PATH).alias("file"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("op"), F.col("p_size").alias("new_line"), F.col("p_size").alias("old_line"), text.alias("t"))
+    h = h.select("p_partkey", "file", "op", "new_line", "old_line", F.concat("t", F.when(F.col("op") == "+", " = 2").otherwise(" = 1")).alias("text"))
+    return diffs.changed_files(h, "p_partkey").select("p_partkey", "artifact", "kind", "lines")
+
+
+@query(None)
+def g17_diff_impact(spark, sf):
+    """What a change of all files that the newest order has lines in reaches in the suppliers' code graph."""
+    run, nodes, edges = _graph(spark, sf)
+    l = read(spark, sf, "lineitem")
+    last = l.agg(F.max("l_orderkey").alias("l_orderkey"))  # one row
+    diff = F.concat(F.lit("--- a/s"), F.col("l_suppkey").cast("string"), F.lit(".py\n+++ b/s"), F.col("l_suppkey").cast("string"), F.lit(".py\n@@ -1 +1 @@\n-def p1(x):\n+def p2(x, y):\n"))
+    d = l.join(F.broadcast(last), "l_orderkey", "left_semi").select("l_suppkey", diff.alias("d")).distinct()
+    _, hit = diffs.diff_impact(diffs.hunk_lines(d, "l_suppkey", "d"), "l_suppkey", run.keep(nodes), run.keep(edges))
+    return run.result(hit.select("artifact", "kind", "changed", r6("overall").alias("overall")))
+
+
+@query(None)
+def g6_code_impact(spark, sf):
+    """Definitions that depend on the newest order's suppliers' files, in the suppliers' code graph of the whole table."""
+    run, _, edges = _graph(spark, sf)
+    l = read(spark, sf, "lineitem")
+    starts = l.join(F.broadcast(l.agg(F.max("l_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi").select(F.concat(F.lit("module:s"), F.col("l_suppkey").cast("string")).alias("id"))
+    hit = graph.impact(edges.where("not unresolved").select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("confidence").alias("w")), starts)
+    return run.result(hit.select("id", r6("strength").alias("strength"), "hops"))
