@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import biconnected, context, diffs, graph
-from ..sources import code, replicas
+from ..sources import caches, code, replicas
 from ..sources.rounds import Rounds
+from ..streaming import drift
+from ..streaming import events as live
 from .catalog import query, r6, read
 
 _BUDGET = 2_000
@@ -177,3 +179,36 @@ def g6_code_impact(spark, sf):
     starts = l.join(F.broadcast(l.agg(F.max("l_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi").select(F.concat(F.lit("module:s"), F.col("l_suppkey").cast("string")).alias("id"))
     hit = graph.impact(edges.where("not unresolved").select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("confidence").alias("w")), starts)
     return run.result(hit.select("id", r6("strength").alias("strength"), "hops"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, sum(coalesce(value / 100, 0) - 0.35) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)
+SELECT event_id, round(s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), 6) AS c FROM s""")
+def x8_stream_charts(spark, sf):
+    """Drift charts of every user as keyed state, which goes when a user falls idle."""
+    run = Rounds(spark, "charts")
+    key, value = drift.STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        e = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+        rows = e.select(F.col("user_id").alias("sid"), F.col("event_id").alias("seq"), "ts", (F.col("value") / 100).alias("d"))
+        live.run(drift.charted(rows), f"{run.folder}/out", f"{run.folder}/checkpoint")
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return run.result(spark.read.parquet(f"{run.folder}/out").where("not ended").select(F.col("seq").alias("event_id"), r6("c").alias("c")))
+
+
+_CACHED = "SELECT vec_id AS k, vec_id % 3 AS turn, length(concat('{\"k\":\"', vec_id, '\",\"v\":[', vec_id % 7, '.0]}')) + 1 AS bytes FROM embeddings"
+
+
+@query(f"""WITH c AS ({_CACHED}), r AS (SELECT *, sum(bytes) OVER (ORDER BY turn DESC, CAST(k AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS upto, (SELECT sum(bytes) FROM c) AS whole FROM c)
+ SELECT CAST(k AS VARCHAR) AS k, CAST(k % 7 AS DOUBLE) AS v FROM r WHERE upto <= (whole - 1) // 2""")
+def s11_cache(spark, sf):
+    """A cache that three appends fill to one byte more than it holds, so the last one cuts it to the newest half."""
+    run = Rounds(spark, "cache-query")
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("k"), F.array((F.col("vec_id") % 7).cast("double")).alias("v"))
+    whole = e.agg(F.sum(F.length(F.to_json(F.struct("k", "v"))) + 1)).first()[0] or 1
+    cache = caches.VectorCache(spark, f"{run.folder}/cache", whole - 1)
+    for part in range(3):
+        cache.append(e.where(f"vec_id % 3 = {part}"))
+    return run.result(cache.read().select("k", F.col("v")[0].alias("v")))

@@ -43,6 +43,10 @@ class Rounds:
         for df in frames:
             _delete(self.spark, df.kept_at)
 
+    def close(self) -> None:
+        """Delete all tables of the run."""
+        _delete(self.spark, self.folder)
+
     def result(self, df: DataFrame) -> DataFrame:
         """``df`` in a folder of its own, which is the caller's to delete (``forget``); all tables of the run go."""
         path = f"{self.folder}-result"
