@@ -35,26 +35,28 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return kept.result(rank.select("id", "rank"))
 
 
-def impact(edges: DataFrame, starts: DataFrame, decay: float = 0.85, threshold: float = 0.1, hops: int = 6) -> DataFrame:
+def impact(edges: DataFrame, starts: DataFrame, decay: float = 0.85, threshold: float = 0.1, hops: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
     """``id, strength, hops``: best product of edge confidences on a path to a start, walked backwards.
 
     Edges are ``src, dst, w`` (src depends on dst); starts are never entered again.  Of equally strong paths the one found first counts.
+    With ``by``, starts are ``*by, id`` and each of its values has starts and results of its own, all walked together.
     """
     kept = Rounds(edges.sparkSession, "impact")
+    key = [*by, "id"]
     e = kept.keep(edges.groupBy(F.col("dst").alias("id"), F.col("src").alias("to")).agg(F.max("w").alias("w")).where("w is not null"))
-    best = kept.keep(starts.select("id").distinct().select("id", F.lit(1.0).alias("strength"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+    best = kept.keep(starts.select(*key).distinct().select(*key, F.lit(1.0).alias("strength"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
     for hop in range(1, hops + 1):
-        step = best.where("fresh").join(e, "id").select(F.col("to").alias("id"), (F.col("strength") * F.col("w") * decay).alias("offer"))
-        step = step.where(F.col("offer") >= threshold).groupBy("id").agg(F.max("offer").alias("offer"))
-        both = best.drop("fresh").join(step, "id", "full_outer")
+        step = best.where("fresh").join(e, "id").select(*by, F.col("to").alias("id"), (F.col("strength") * F.col("w") * decay).alias("offer"))
+        step = step.where(F.col("offer") >= threshold).groupBy(*key).agg(F.max("offer").alias("offer"))
+        both = best.drop("fresh").join(step, key, "full_outer")
         better = (F.coalesce("hops", F.lit(hop)) > 0) & F.coalesce(F.col("offer") > F.coalesce("strength", F.lit(0.0)), F.lit(False))
-        new = both.select("id", F.when(better, F.col("offer")).otherwise(F.col("strength")).alias("strength"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), better.alias("fresh"))
+        new = both.select(*key, F.when(better, F.col("offer")).otherwise(F.col("strength")).alias("strength"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), better.alias("fresh"))
         new = kept.keep(new, fresh=F.count_if(F.col("fresh")))
         kept.drop(best)
         best = new
         if not kept.seen["fresh"]:
             break
-    return kept.result(best.where("hops > 0").select("id", "strength", "hops"))
+    return kept.result(best.where("hops > 0").select(*key, "strength", "hops"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

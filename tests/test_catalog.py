@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillon.plans import catalog, gates, lookups, recall, records, relations, structure, styles  # noqa: F401  (these add their queries to the catalog)
+from quillon.plans import catalog, gates, lookups, projects, recall, records, relations, structure, styles  # noqa: F401  (these add their queries to the catalog)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
