@@ -21,8 +21,8 @@ def j17_file_relations(spark, sf):
 @query(f"""WITH {_TREE}, ed AS (SELECT DISTINCT source, target FROM g WHERE NOT unresolved), st AS (SELECT DISTINCT concat('s', s, '.py') AS change, id FROM (SELECT s, concat('module:s', s) AS id FROM c UNION SELECT s, concat('s', s, '.py:', name, ':', line) FROM df)),
  h1 AS (SELECT DISTINCT change, source AS id FROM st JOIN ed ON ed.target = st.id WHERE (change, source) NOT IN (SELECT (change, id) FROM st)),
  h2 AS (SELECT change, id FROM h1 UNION SELECT change, source FROM h1 JOIN ed ON ed.target = h1.id),
- n AS (SELECT change, count(DISTINCT {_FILE.format("id")}) AS n FROM h2 WHERE {_FILE.format("id")} <> change GROUP BY change)
- SELECT change, coalesce(n, 0) AS n, least(1.0, coalesce(n, 0) / 5)::DOUBLE AS s FROM (SELECT DISTINCT change FROM st) LEFT JOIN n USING (change)""")
+ deps AS (SELECT change, count(DISTINCT {_FILE.format("id")}) AS n FROM h2 WHERE {_FILE.format("id")} <> change GROUP BY change)
+ SELECT change, coalesce(n, 0) AS n, least(1.0, coalesce(n, 0) / 5)::DOUBLE AS s FROM (SELECT DISTINCT change FROM st) LEFT JOIN deps USING (change)""")
 def g13_impact_lens(spark, sf):
     """Each supplier's file as a change of its own, in the suppliers' code graph."""
     run, nodes, edges = _graph(spark, sf)
