@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators whose whole result SQL can state at acceptable cost."""
-    return {"op1_topk_inner_product": OP1_SQL, "op11_conversation_trie": OP11_SQL, "op12_url_trust": op12_sql(), "op13_sort_means": op13_sql()}
+    return {"op1_topk_inner_product": OP1_SQL, "op11_conversation_trie": OP11_SQL, "op12_url_trust": url_trust_sql(), "op13_sort_means": sort_means_sql()}
 
 
 OP1_SQL = """
@@ -144,7 +144,7 @@ LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
 """
 
 
-def op12_sql() -> str:
+def url_trust_sql() -> str:
     """Verdicts with the scores' rounds written out; all numbers are whole, so both engines agree to the last."""
     hit = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
     fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
@@ -189,7 +189,7 @@ FROM j JOIN known k ON k.host = j.host
 """
 
 
-def op13_sql() -> str:
+def sort_means_sql() -> str:
     """Full scans with the rounds written out."""
     step = ""
     for i in range(4):
