@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from quillon.plans import catalog, gates, lookups, projects, recall, records, relations, structure, styles  # noqa: F401  (these add their queries to the catalog)
 
-HEADLINE = "a1_confidence a3_author_trust a5_merge_replicas a9_stage_factors a21_precision_recall a25_median_p95 a36_blame a_rollup g6_impact g7_merge_field g11_components j4_belief_diff j9_as_of m5_consensus p14_stop_gate r1_rubric r6_shingles r10_reuse_ladder t1_retrieve t13_knn w2_ring_recurrence w4_cusum".split()
+HEADLINE = "a1_confidence a3_author_trust a5_merge_replicas a9_stage_factors a21_precision_recall a25_median_p95 a36_blame a_rollup g6_impact g7_merge_field g11_components j4_belief_diff j9_as_of m5_consensus p14_stop_gate r1_rubric r6_shingles r10_reuse_ladder r11_clusters s9_code_graph t1_retrieve t13_knn w2_ring_recurrence w4_cusum".split()
 
 
 def main() -> None:

@@ -34,8 +34,8 @@ _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(97, 123)]] = True
 
 
-def sketches_of(texts: list[str | None], n: int = 4) -> np.ndarray:
-    """The sketch of each text (rows of ``LANES`` 32-bit lanes), all texts at once; the values of ``sketches.sketch_of``."""
+def _stretches(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all texts as stretches of one buffer: (buffer, first, length, number of each text's, in order)."""
     joined = "\n".join((t or "").lower().replace("\n", " ") for t in texts).encode("ascii", "replace")
     raw = np.frombuffer(joined, np.uint8)
     token = _TOKEN[raw]
@@ -53,7 +53,13 @@ def sketches_of(texts: list[str | None], n: int = 4) -> np.ndarray:
     size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
     through = at + np.repeat(np.minimum(n, count), size) - 1
-    h = _fnv(clean, first[at], last[through] - first[at])
+    return clean, first[at], last[through] - first[at], size
+
+
+def sketches_of(texts: list[str | None], n: int = 4) -> np.ndarray:
+    """The sketch of each text (rows of ``LANES`` 32-bit lanes), all texts at once; the values of ``sketches.sketch_of``."""
+    clean, first, length, size = _stretches(texts, n)
+    h = _fnv(clean, first, length)
     out = np.full((len(texts), LANES), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(size)
     if len(some):
@@ -64,11 +70,22 @@ def sketches_of(texts: list[str | None], n: int = 4) -> np.ndarray:
     return out
 
 
-def _fnv(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def shingle_counts_of(texts: list[str | None], n: int = 4) -> np.ndarray:
+    """Number of distinct shingles of each text, told apart by two 32-bit hashes and their length."""
+    clean, first, length, size = _stretches(texts, n)
+    row = np.repeat(np.arange(len(texts)), size)
+    h = _fnv(clean, first, length).astype(np.uint64) << np.uint64(32) | _fnv(clean, first, length, FNV_START ^ 0x5BD1E995)
+    order = np.lexsort((length, h, row))
+    row, h, length = row[order], h[order], length[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (length[1:] != length[:-1]))) if len(row) else np.empty(0, bool)
+    return np.bincount(row[new], minlength=len(texts))
+
+
+def _fnv(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = FNV_START) -> np.ndarray:
     """32-bit FNV-1a of stretches of a buffer: character by character over all that are so long, the few longest by themselves."""
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
-    h = np.full(len(start), FNV_START, np.uint32)
+    h = np.full(len(start), seed, np.uint32)
     j, live = 0, len(start)
     while live > FEW:
         h[:live] = (h[:live] ^ buf[start[:live] + j]) * np.uint32(FNV_PRIME)
@@ -84,25 +101,45 @@ def _fnv(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(texts: list[str | None]):
+    """(first, end) of runs of texts with about ``SLICE`` characters; a longer text is a run by itself."""
+    lo = 0
+    while lo < len(texts):
+        hi, chars = lo, 0
+        while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= SLICE):
+            chars += len(texts[hi] or "")
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def sketched(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, sk``: the sketch of each text as bytes; null is an empty text."""
 
     def run(batches):
         for b in batches:
-            texts, lo = b.column(1).to_pylist(), 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= SLICE):
-                    chars += len(texts[hi] or "")
-                    hi += 1
+            texts = b.column(1).to_pylist()
+            for lo, hi in _runs(texts):
                 sk = sketches_of(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([r.tobytes() for r in sk], pa.binary())], ["id", "sk"])
-                lo = hi
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, sk binary")
 
 
+def shingle_counts(df: DataFrame, id_col: str, text_col: str, n: int = 4) -> DataFrame:
+    """``id_col, n``: distinct shingles of each text; null is an empty text."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for lo, hi in _runs(texts):
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(shingle_counts_of(texts[lo:hi], n).astype(np.int64))], [id_col, "n"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long")
+
+
 def lane_groups(groups: int, cut: int) -> list[np.ndarray]:
     """``groups`` sets of lanes that cover all, as even as can be; each cut has other ones."""
     lanes = np.arange(LANES) * (2 * 11 * cut + 1) % LANES

@@ -119,3 +119,23 @@ def state_root(lines: DataFrame, id_col: str = "id", line_col: str = "line") ->
     leaf = lines.select(F.substring(id_col, 1, 2).alias("shard"), F.sha2(F.col(line_col), 256).alias("x"))
     shards = leaf.groupBy("shard").agg(digest.alias("d")).select(F.concat_ws(":", "shard", "d").alias("x"))
     return shards.agg(digest.alias("root"))
+
+
+def state(claims: DataFrame, evidence: DataFrame, mints: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Every claim with what the other logs say of it: ``n_evidence, author, minted, n_mints, retracted``.
+
+    ``claims``: ``claim_id, ...``; ``evidence``: ``claim_id, h``; ``mints``: ``claim_id, author, t, h``; ``tombstones``: ``claim_id, t, h``.  Records count once for each hash; the first
+    mint names author and day.  Records of claims that are not there are left out.
+    """
+    e = evidence.groupBy("claim_id").agg(F.count_distinct("h").alias("n_evidence"))
+    m = mints.groupBy("claim_id").agg(F.min_by(F.struct("author", "t"), F.struct("t", "h")).alias("_m"), F.count_distinct("h").alias("n_mints"))
+    d = tombstones.select("claim_id", F.lit(True).alias("_gone")).distinct()
+    out = claims.join(e, "claim_id", "left").join(m, "claim_id", "left").join(d, "claim_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*claims.columns, zero("n_evidence"), F.col("_m.author").alias("author"), F.col("_m.t").alias("minted"), zero("n_mints"), F.coalesce("_gone", F.lit(False)).alias("retracted"))
+
+
+def view(state_: DataFrame, kind: str, retracted: bool) -> DataFrame:
+    """Claims of a kind; lessons keep their retracted ones (``retracted``), facts do not."""
+    rows = state_.where(F.col("kind") == kind)
+    return rows if retracted else rows.where(~F.col("retracted"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.rounds import Rounds
+from .running import running
+
 # What a cache outcome is worth.
 CACHE_WORTH = {"exact": 1.0, "near": 0.85, "adapt": 0.5}
 
@@ -53,15 +56,26 @@ def summarised(events: DataFrame) -> DataFrame:
 
 
 def median_p95(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Interpolated median and nearest-rank 95th percentile of each group."""
-    return df.groupBy(by).agg(F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    """Interpolated median and nearest-rank 95th percentile of each group, exact; null values do not count.
+
+    Equal values are counted first, and the counts are summed in order by ranges, so a group of any size is many tasks' work.
+    """
+    kept = Rounds(df.sparkSession, "ranks")
+    counts = kept.keep(df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_k")))
+    upto = running(kept, counts, ["_v"], [by], adds=["_k"])
+    of = kept.keep(counts.groupBy(by).agg(F.sum("_k").alias("_n")))
+    ranked = upto.withColumn("_by", F.struct(by)).join(of.select(F.struct(by).alias("_by"), "_n"), "_by")
+    at = lambda rank: F.max(F.when((F.col("run__k") >= rank) & (F.col("run__k") - F.col("_k") < rank), F.col("_v")))
+    low, high = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
+    return kept.result(ranked.groupBy("_by").agg(at(low).alias("low"), at(high).alias("high"), at(F.expr("(95 * _n + 99) div 100")).alias("p95")).select(F.col("_by")[by].alias(by), ((F.col("low") + F.col("high")) / 2).alias("median"), "p95"))
 
 
 def average_precision(scored: DataFrame, by: str, score: str = "score", label: str = "label", order: str = "ord") -> DataFrame:
-    """Mean over the positives of precision at their rank (score descending, ties by ``order``)."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), order)
-    hit = F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(w)
-    return scored.withColumn("p", hit).groupBy(by).agg(ratio(F.sum(F.when(F.col(label) == 1, F.col("p"))), F.sum(label)).alias("ap"))
+    """Mean over the positives of precision at their rank (score descending, ties by ``order``); hits and ranks are sums by ranges."""
+    kept = Rounds(scored.sparkSession, "precision")
+    rows = kept.keep(scored.select(by, (-F.col(score)).alias("_turn"), F.col(order).alias("_ord"), F.col(label).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one")))
+    p = running(kept, rows, ["_turn", "_ord"], [by], adds=["_y", "_one"]).withColumn("p", F.col("run__y") / F.col("run__one"))
+    return kept.result(p.groupBy(by).agg(ratio(F.sum(F.when(F.col("_y") == 1, F.col("p"))), F.sum("_y")).alias("ap")))
 
 
 def precision_recall(predicted: DataFrame, expected: DataFrame, case: str, item: str) -> DataFrame:
@@ -121,3 +135,14 @@ def nearest(vectors: DataFrame, k: int = 3, every: int = 50, block: int = 2_048)
     found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(meet, "query_id long, vec_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "sim")
+
+
+def report(events: DataFrame) -> DataFrame:
+    """``item, value``: number of events and finite tokens saved, every stage's factor, and a caveat (value null) for each stage that nothing was recorded for."""
+    wide = stage_factors(events)
+    stages = ("gate", "cache", "route", "context")
+    factors = wide.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("value")) for s in stages])).alias("f")).select("f.*")
+    rows = factors.select(F.when(F.col("value").isNull(), F.concat(F.lit("unmeasured: "), "stage")).otherwise(F.col("stage")).alias("item"), "value")
+    finite = F.when(~F.isnan("saved") & (F.abs("saved") < float("inf")), F.col("saved"))
+    totals = events.agg(F.count("*").cast("double").alias("events"), F.coalesce(F.sum(finite), F.lit(0.0)).alias("saved tokens"))
+    return totals.unpivot([], ["events", "saved tokens"], "item", "value").union(rows)

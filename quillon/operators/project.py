@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.rounds import Rounds
 from . import graph, metrics
 from .gates import path_class, slug
 
@@ -129,3 +130,52 @@ def risky_importers(imports: DataFrame, deps: DataFrame) -> DataFrame:
     """``file, name, ring``: files (``file, target``) that import a dependency on hold, or one to assess that has an open advisory (``name, ring, advisory``)."""
     risky = deps.where((F.col("ring") == "hold") | ((F.col("ring") == "assess") & F.coalesce("advisory", F.lit(False)))).select("name", "ring")
     return imports.select("file", package_of(F.col("target")).alias("name")).where("name is not null").distinct().join(risky, "name").select("file", "name", "ring")
+
+
+# What a relation of each kind carries back to what depends on it, and what an unknown kind carries.
+EDGE_WEIGHT = {"calls": 0.95, "imports": 0.85, "inherits": 0.92, "references": 0.7, "contains": 0.45}
+OTHER_WEIGHT = 0.5
+
+
+def cycle_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``file, cycle``: files that import or call one another in a circle, by the circle's largest name; the condensation that impact walks in one step."""
+    of = nodes.select("id", "file").distinct()
+    e = edges.where("not unresolved and kind <> 'contains'").join(of.select(F.col("id").alias("source"), F.col("file").alias("src")), "source").join(of.select(F.col("id").alias("target"), F.col("file").alias("dst")), "target")
+    return graph.strong_components(e.select("src", "dst")).select(F.col("id").alias("file"), F.col("component").alias("cycle"))
+
+
+def code_impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hazards: DataFrame | None = None, cycles: DataFrame | None = None, by: tuple[str, ...] = (), decay: float = 0.85, threshold: float = 0.1, hops: int = 6) -> DataFrame:
+    """``*by, id, strength, hops``: what depends on the starts (``*by, id``), by the best product of kind weights, confidences and decay along a path.
+
+    In a file with a hazard score (``file, hazard``) the threshold is divided by 1 + hazard.  Reaching a file of a cycle (``file, cycle``) reaches all
+    nodes of the cycle's other files as strongly, in the same step.  Starts are never entered.
+    """
+    kept = Rounds(nodes.sparkSession, "code-impact")
+    none = lambda kind: nodes.sparkSession.createDataFrame([], kind)
+    n = nodes.select("id", "file").dropDuplicates(["id"])
+    n = n.join((none("file string, hazard double") if hazards is None else hazards).select("file", "hazard"), "file", "left").join((none("file string, cycle string") if cycles is None else cycles).select("file", "cycle"), "file", "left")
+    n = kept.keep(n.select("id", "file", "cycle", (F.lit(threshold) / (1 + F.coalesce("hazard", F.lit(0.0)))).alias("least")))
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_WEIGHT.items() for x in kv]), F.col("kind")), F.lit(OTHER_WEIGHT))
+    e = edges.where("not unresolved").select(F.col("target").alias("id"), F.col("source").alias("to"), (weight * F.coalesce("confidence", F.lit(1.0)) * decay).alias("w"))
+    e = e.groupBy("id", "to").agg(F.max("w").alias("w")).join(n.select(F.col("id").alias("to"), "file", "cycle", "least"), "to", "left")
+    e = kept.keep(e.withColumn("least", F.coalesce("least", F.lit(threshold))))
+    key = [*by, "id"]
+    best = kept.keep(starts.select(*key).distinct().select(*key, F.lit(1.0).alias("strength"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+    for hop in range(1, hops + 1):
+        step = best.where("fresh").join(e, "id").withColumn("offer", F.col("strength") * F.col("w")).where("offer >= least")
+        step = step.join(best.where("hops = 0").select(*by, F.col("id").alias("to")), [*by, "to"], "left_anti")
+        # of a cycle's files the two reached best: a file takes the best of the others
+        reached = step.where("cycle is not null").groupBy(*by, "cycle", "file").agg(F.max("offer").alias("offer"))
+        two = reached.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "cycle").orderBy(F.desc("offer"), "file"))).where("_n <= 2")
+        top = two.groupBy(*by, "cycle").agg(F.max(F.when(F.col("_n") == 1, F.struct("offer", "file"))).alias("a"), F.max(F.when(F.col("_n") == 2, F.col("offer"))).alias("b"))
+        spread = top.join(n.where("cycle is not null").select("id", "file", "cycle"), "cycle").select(*by, "id", F.when(F.col("file") != F.col("a.file"), F.col("a.offer")).otherwise(F.col("b")).alias("offer")).where("offer is not null")
+        offers = step.select(*by, F.col("to").alias("id"), "offer").union(spread.select(*key, "offer")).groupBy(*key).agg(F.max("offer").alias("offer"))
+        both = best.drop("fresh").join(offers, key, "full_outer")
+        better = (F.coalesce("hops", F.lit(hop)) > 0) & F.coalesce(F.col("offer") > F.coalesce("strength", F.lit(0.0)), F.lit(False))
+        new = both.select(*key, F.when(better, F.col("offer")).otherwise(F.col("strength")).alias("strength"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), better.alias("fresh"))
+        new = kept.keep(new, fresh=F.count_if(F.col("fresh")))
+        kept.drop(best)
+        best = new
+        if not kept.seen["fresh"]:
+            break
+    return kept.result(best.where("hops > 0").select(*key, "strength", "hops"))

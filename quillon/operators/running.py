@@ -26,7 +26,7 @@ def pieces(df: DataFrame, rows: int) -> int:
 def running(rounds: Rounds, df: DataFrame, order: Sequence[str], group: Sequence[str] = (), adds: Sequence[str] = ()) -> DataFrame:
     """``df`` (a kept table) with ``run_<c>`` for every long ``c`` of ``adds``: its sum up to the row, in the order of ``group`` and ``order``.
 
-    Sums start anew in each group (columns without nulls); nulls count as nothing.  Rows go to partitions by range of group and order, are
+    Sums start anew in each group (nulls are a group); null summands count as nothing.  Rows go to partitions by range of group and order, are
     summed there, and each partition's carry from those before it is worked out from one row for each partition.
     """
     by = [*group, *order]
@@ -60,7 +60,8 @@ def _sums(group: list[str], adds: list[str]):
             new = np.zeros(n, bool)
             for g in group:
                 col = b.column(g)
-                new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+                null = pc.is_null(col).to_numpy(zero_copy_only=False)
+                new[1:] |= pc.fill_null(pc.not_equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
             last = tuple(b.column(g)[0].as_py() for g in group)
             new[0] = held is not None and last != held
             held = tuple(b.column(g)[n - 1].as_py() for g in group)

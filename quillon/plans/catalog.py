@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores as S
-from ..operators import graph, ledger, metrics, sequences
+from ..operators import graph, lanes, ledger, metrics, sequences
 
 NOW = 19_760  # an epoch day inside the events
 _ORACLE = {"click": "test.run", "view": "ci.run", "purchase": "human.accept", "signup": "typecheck", "error": "human.revert"}
@@ -331,4 +331,4 @@ def a11_daily_buckets(spark, sf):
 @query("""SELECT doc_id, len(list_distinct(CASE WHEN len(t) >= 4 THEN list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END)) AS n
 FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents)""")
 def r6_shingles(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.size(S.shingles(F.col("text"))).cast("long").alias("n"))
+    return lanes.shingle_counts(read(spark, sf, "documents"), "doc_id", "text")

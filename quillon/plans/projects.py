@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diffs, project
-from .catalog import query, r6, read
+from ..operators import diffs, ledger, metrics, project
+from ..sources import logs
+from ..sources.rounds import Rounds
+from .catalog import metric_rows, query, r6, read
 from .structure import _TREE, _graph
 
 _FILE = "concat(regexp_extract({}, '^(module:)?(s\\d+)', 2), '.py')"
@@ -89,3 +91,76 @@ def j20_risky_imports(spark, sf):
     spec = "CASE l_linenumber % 4 WHEN 0 THEN concat('pkg', l_partkey % 100, '/x/y') WHEN 1 THEN concat('./pkg', l_partkey % 100) WHEN 2 THEN concat('@s/pkg', l_partkey % 100, '/z') ELSE 'node:fs' END"
     deps = read(spark, sf, "part").selectExpr("concat(CASE WHEN p_partkey % 200 < 100 THEN '' ELSE '@s/' END, 'pkg', p_partkey % 100) AS name", "CASE p_partkey % 100 % 3 WHEN 0 THEN 'hold' WHEN 1 THEN 'assess' ELSE 'adopt' END AS ring", "p_partkey % 100 % 2 = 0 AS advisory").distinct()
     return project.risky_importers(read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("file"), F.expr(spec).alias("target")), deps)
+
+
+# --- logs, states and reports ----------------------------------------------------------
+
+
+@query("""SELECT model, sum(a) AS tokens_in, sum(b) AS tokens_out, round(sum(a * CASE model WHEN 'm0' THEN 1.0 WHEN 'm1' THEN 2.0 ELSE 3.0 END + b * CASE model WHEN 'm0' THEN 5.0 WHEN 'm1' THEN 10.0 ELSE 15.0 END)::DOUBLE / 1000000, 6) AS cost
+ FROM (SELECT concat('m', event_id % 4) AS model, event_id % 1000 AS a, user_id AS b FROM events WHERE event_id % 7 <> 0) GROUP BY model""")
+def s16_spend(spark, sf):
+    """Session logs with usage at the top of an entry or in its message, one entry in seven without; models m2 and m3 have no price."""
+    run = Rounds(spark, "spend")
+    usage = F.struct((F.col("event_id") % 1000).alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    e = read(spark, sf, "events").withColumns({"model": F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")), "u": F.when(F.col("event_id") % 7 != 0, usage)})
+    top = F.col("event_id") % 2 == 0
+    e.select(F.when(top, F.col("model")).alias("model"), F.when(top, F.col("u")).alias("usage"), F.when(~top, F.struct("model", F.col("u").alias("usage"))).alias("message")).write.json(f"{run.folder}/logs")
+    prices = spark.createDataFrame([("m0", 1.0, 5.0), ("m1", 2.0, 10.0)], "model string, price_in double, price_out double")
+    return run.result(logs.spend(logs.read_usage(spark, f"{run.folder}/logs"), prices).select("model", "tokens_in", "tokens_out", r6("cost").alias("cost")))
+
+
+_STATE = """WITH e AS (SELECT user_id AS claim_id, event_id, event_type, concat('a', event_id % 7) AS author, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS t FROM events),
+ s AS (SELECT c.claim_id, CASE c.claim_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'lesson' ELSE 'summary' END AS kind,
+  (SELECT count(*) FROM e WHERE e.claim_id = c.claim_id AND event_type IN ('click', 'view', 'error')) AS n_evidence, (SELECT arg_min(author, (t, event_id)) FROM e WHERE e.claim_id = c.claim_id AND event_type = 'signup') AS author,
+  (SELECT min(t) FROM e WHERE e.claim_id = c.claim_id AND event_type = 'signup') AS minted, (SELECT count(*) FROM e WHERE e.claim_id = c.claim_id AND event_type = 'signup') AS n_mints,
+  (SELECT count(*) FROM e WHERE e.claim_id = c.claim_id AND event_type = 'purchase' AND event_id % 50 = 0) > 0 AS retracted FROM (SELECT DISTINCT claim_id FROM e) c)"""
+
+
+def _state(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("claim_id"), F.col("event_id").alias("h"), "event_type", "event_id", F.concat(F.lit("a"), (F.col("event_id") % 7).cast("string")).alias("author"), F.unix_date(F.to_date("ts")).alias("t"))
+    kind = F.when(F.col("claim_id") % 3 == 0, "fact").when(F.col("claim_id") % 3 == 1, "lesson").otherwise("summary")
+    claims = e.select("claim_id").distinct().withColumn("kind", kind)
+    return ledger.state(claims, e.where("event_type IN ('click', 'view', 'error')"), e.where("event_type = 'signup'"), e.where("event_type = 'purchase' AND event_id % 50 = 0"))
+
+
+@query(f"{_STATE} SELECT * FROM s")
+def s5_state(spark, sf):
+    """Claims with their evidence, mints and tombstones; every type of event is a record of one of these logs."""
+    return _state(spark, sf).withColumn("minted", F.col("minted").cast("long"))
+
+
+@query(f"{_STATE} SELECT kind, count(*) AS n, count(*) FILTER (retracted) AS retracted FROM s WHERE kind = 'lesson' OR (kind = 'fact' AND NOT retracted) GROUP BY kind")
+def s24_views(spark, sf):
+    s = _state(spark, sf)
+    both = ledger.view(s, "lesson", True).union(ledger.view(s, "fact", False))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("retracted").alias("retracted"))
+
+
+@query("""WITH m AS (SELECT CASE event_type WHEN 'click' THEN 'gate' WHEN 'error' THEN 'gate' WHEN 'view' THEN 'cache' WHEN 'purchase' THEN 'context' ELSE 'route' END AS stage,
+  CASE WHEN event_type = 'error' THEN 'halt' WHEN event_type = 'view' THEN CASE event_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'near' WHEN 2 THEN 'adapt' ELSE 'miss' END ELSE 'pass' END AS outcome, value AS saved, value * 2 AS used FROM events)
+ SELECT 'events' AS item, count(*)::DOUBLE AS value FROM m UNION ALL SELECT 'saved tokens', round(sum(saved), 4) FROM m
+ UNION ALL SELECT 'gate', round(count(*) FILTER (outcome = 'halt') / count(*), 4) FROM m WHERE stage = 'gate'
+ UNION ALL SELECT 'cache', round(avg(CASE outcome WHEN 'exact' THEN 1.0 WHEN 'near' THEN 0.85 WHEN 'adapt' THEN 0.5 ELSE 0 END::DOUBLE), 4) FROM m WHERE stage = 'cache'
+ UNION ALL SELECT 'context', round(sum(saved) / (sum(saved) + sum(used)), 4) FROM m WHERE stage = 'context' UNION ALL SELECT 'unmeasured: route', NULL""")
+def a11_report(spark, sf):
+    """Totals, factors and caveats of the metric log, whose route rows have no costs."""
+    return metrics.report(metric_rows(spark, sf)).withColumn("value", F.round("value", 4))
+
+
+@query(None)
+def g8_cycle_index(spark, sf):
+    """Files of the suppliers' code graph that call or import one another in circles."""
+    run, nodes, edges = _graph(spark, sf)
+    return run.result(project.cycle_index(run.keep(nodes), run.keep(edges)))
+
+
+@query(None)
+def g6_hazard_impact(spark, sf):
+    """What depends on the newest order's suppliers' files, by kinds of relation, with suppliers of low balance as hazards and circles walked in one step."""
+    run, nodes, edges = _graph(spark, sf)
+    nodes, edges = run.keep(nodes), run.keep(edges)
+    l = read(spark, sf, "lineitem")
+    starts = l.join(F.broadcast(l.agg(F.max("l_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi").select(F.concat(F.lit("module:s"), F.col("l_suppkey").cast("string")).alias("id"))
+    hazards = read(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file"), (-F.col("s_acctbal") / 1000).alias("hazard"))
+    hit = project.code_impact(nodes, edges, starts, hazards, project.cycle_index(nodes, edges))
+    return run.result(hit.select("id", r6("strength").alias("strength"), "hops"))

@@ -48,3 +48,23 @@ def by_prefix(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     if len(prefix) >= 2:
         rows = rows.where(F.col("shard") == prefix[:2])
     return rows.where(F.col("id").startswith(prefix)).orderBy("id").limit(1)
+
+
+#: Prices of a model that no table names, for a million tokens in and out.
+OTHER_PRICE = (3.0, 15.0)
+_USAGE = "struct<input_tokens:bigint,output_tokens:bigint>"
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """``file, model, tokens_in, tokens_out`` of every entry of session logs (JSON lines) that reports usage, at its top or inside its message; lines that do not parse are skipped."""
+    rows = spark.read.schema(f"model string, usage {_USAGE}, message struct<model:string,usage:{_USAGE}>").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").json(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.coalesce(F.nullif("model", F.lit("")), "message.model", F.lit("")).alias("model"), F.coalesce("usage", "message.usage").alias("u")).where("u is not null")
+    return rows.select("file", "model", F.coalesce("u.input_tokens", F.lit(0)).alias("tokens_in"), F.coalesce("u.output_tokens", F.lit(0)).alias("tokens_out"))
+
+
+def spend(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """``model, tokens_in, tokens_out, sessions, cost`` in dollars; ``prices``: ``model, price_in, price_out`` for a million tokens."""
+    by = usage.groupBy("model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count_distinct("file").alias("sessions"))
+    at = by.join(prices, "model", "left")
+    cost = F.col("tokens_in") * F.coalesce("price_in", F.lit(OTHER_PRICE[0])) + F.col("tokens_out") * F.coalesce("price_out", F.lit(OTHER_PRICE[1]))
+    return at.select("model", "tokens_in", "tokens_out", "sessions", (cost / 1e6).alias("cost"))

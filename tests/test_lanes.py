@@ -31,6 +31,12 @@ def test_sketches_of_many_texts_at_once():
     assert lanes.sketches_of([]).shape == (0, 128)
 
 
+def test_shingles_are_counted_as_sets():
+    made = [*texts(40, 9), "ab cd " * 50, "x" * 4000]
+    for n in (4, 1):
+        assert lanes.shingle_counts_of(made, n).tolist() == [len(set(sketches.shingles_of(t, n))) for t in made]
+
+
 def test_groups_cover_all_lanes():
     for groups in (26, 39, 52):
         for cut in range(3):

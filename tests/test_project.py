@@ -67,3 +67,46 @@ def test_importers_of_risky_packages(spark):
     imports = spark.createDataFrame([("f1", "left/deep"), ("f1", "./left"), ("f2", "@s/c/x"), ("f2", "node:fs"), ("f3", "fine"), ("f3", ""), ("f4", "old"), ("f4", "old/x")], "file string, target string")
     deps = spark.createDataFrame([("left", "hold", None), ("@s/c", "assess", True), ("fine", "assess", False), ("old", "hold", False)], "name string, ring string, advisory boolean")
     assert {tuple(r) for r in project.risky_importers(imports, deps).collect()} == {("f1", "left", "hold"), ("f2", "@s/c", "assess"), ("f4", "old", "hold")}
+
+
+def plain_impact(nodes, edges, starts, hazards, cycles, threshold=0.1, hops=6):
+    file = {i: f for i, _, _, f in nodes}
+    best, front = dict.fromkeys(starts, (1.0, 0)), dict.fromkeys(starts, 1.0)
+    for hop in range(1, hops + 1):
+        offers = {}
+        for target, strength in front.items():
+            for s, t, kind, c in edges:
+                if t != target or s in starts:
+                    continue
+                x = strength * project.EDGE_WEIGHT.get(kind, 0.5) * c * 0.85
+                f = file.get(s)
+                if x < threshold / (1 + hazards.get(f, 0)):
+                    continue
+                reach = [s] + [i for i in file if f in cycles and file[i] != f and cycles.get(file[i]) == cycles[f]]
+                for i in reach:
+                    if i not in starts:
+                        offers[i] = max(offers.get(i, 0), x)
+        front = {i: x for i, x in offers.items() if x > best.get(i, (0, 0))[0]}
+        best |= {i: (x, hop) for i, x in front.items()}
+    return {i: (round(x, 9), h) for i, (x, h) in best.items() if h}
+
+
+def test_impact_with_kinds_hazards_and_cycles(spark):
+    import random
+
+    rng = random.Random(4)
+    for seed in range(3):
+        nodes = [(f"n{i}", f"n{i}", None, f"f{i % 7}") for i in range(30)]
+        edges = [(f"n{rng.randrange(32)}", f"n{rng.randrange(30)}", rng.choice(["calls", "imports", "contains", "odd"]), rng.choice([1.0, 0.9, 0.6])) for _ in range(55)]
+        hazards, cycles = {"f1": 1.5, "f5": 0.2}, {"f2": "c", "f3": "c", "f4": "d", "f6": "d"}
+        got = project.code_impact(
+            spark.createDataFrame(nodes, NODES), spark.createDataFrame([(*e, False) for e in edges] + [("n1", "n0", "calls", 1.0, True)], "source string, target string, kind string, confidence double, unresolved boolean"),
+            spark.createDataFrame([("n0",), ("n3",)], "id string"), spark.createDataFrame(list(hazards.items()), "file string, hazard double"), spark.createDataFrame(list(cycles.items()), "file string, cycle string"),
+        )
+        assert {r.id: (round(r.strength, 9), r.hops) for r in got.collect()} == plain_impact(nodes, edges, {"n0", "n3"}, hazards, cycles)
+
+
+def test_files_in_a_circle(spark):
+    nodes = spark.createDataFrame([("a", "a", None, "x.js"), ("b", "b", None, "y.js"), ("c", "c", None, "z.js"), ("a2", "a2", None, "x.js")], NODES)
+    edges = spark.createDataFrame([("a", "b", "calls", 1.0, False), ("b", "a2", "imports", 1.0, False), ("c", "a", "calls", 1.0, False), ("a", "c", "contains", 1.0, False)], "source string, target string, kind string, confidence double, unresolved boolean")
+    assert {tuple(r) for r in project.cycle_index(nodes, edges).collect()} == {("x.js", "y.js"), ("y.js", "y.js")}

@@ -42,3 +42,32 @@ def test_ladder_answers_from_every_other_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.query_id: (r.tier, r.artifact_id) for r in catalog.QUERIES["r10_reuse_ladder"](spark, str(tmp_path)).collect()}
     assert got == {50: ("exact", 100), 100: ("exact", 50), 150: ("miss", None)}
+
+
+def test_ranks_of_groups_of_any_size(spark, monkeypatch):
+    from quillon.operators import running
+
+    monkeypatch.setattr(running, "PIECE_ROWS", 5)
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.integers(0, 9, 60)] + [("b", float(v)) for v in rng.normal(size=41)] + [("c", 5.0), (None, 1.0), (None, 2.0), ("d", None)]
+    got = {r.g: (r.median, r.p95) for r in metrics.median_p95(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in ("a", "b", "c", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (np.median(v), v[-(-95 * len(v) // 100) - 1])
+    assert set(got) == {"a", "b", "c", None}
+
+
+def test_average_precision_is_the_loop(spark, monkeypatch):
+    from quillon.operators import running
+
+    monkeypatch.setattr(running, "PIECE_ROWS", 5)
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(rng.integers(0, 6)), int(rng.integers(0, 2)) if g != "none" else 0) for i in range(30) for g in ("x", "y", "none")]
+    got = {r.g: r.ap for r in metrics.average_precision(spark.createDataFrame(rows, "g string, ord int, score double, label int"), "g").collect()}
+    for g in ("x", "y"):
+        hits, total = 0, 0.0
+        for k, (_, _, _, y) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])), 1):
+            hits += y
+            total += hits / k if y else 0
+        assert abs(got[g] - total / hits) < 1e-12
+    assert got["none"] is None
