@@ -95,20 +95,26 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield lo, [t or b"" for t in texts[lo:hi].cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Give this process's free memory back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def tidy(run):
-    """A batch function that, at the end of its task, gives a reused worker's free memory back."""
+    """A batch function that gives a reused worker's free memory back: what the tasks before left when it begins, and its own when it ends."""
 
     @functools.wraps(run)
     def tidied(batches):
+        trim()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # a C library without it
+            trim()
 
     return tidied
 

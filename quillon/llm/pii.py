@@ -25,7 +25,6 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _util as U
 
@@ -215,11 +214,16 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data replaced; null texts stay null; the length column follows."""
 
-    @F.pandas_udf(T.StringType())
-    def clean(s):
-        return s.map(lambda t: t if t is None else redact(t))
+    at = docs.columns.index(text_col)
 
-    out = docs.withColumn(text_col, clean(F.col(text_col)))
+    def run(batches):
+        for b in batches:
+            for lo, hi in U.spans(b.column(at)):
+                cols = [c[lo:hi] for c in b.columns]
+                cols[at] = pa.array([t if t is None else redact(t) for t in cols[at].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    out = docs.mapInArrow(U.tidy(run), docs.schema)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out
