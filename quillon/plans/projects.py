@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diffs, ledger, metrics, project
-from ..sources import logs
+from ..sources import logs, sinks
 from ..sources.rounds import Rounds
 from .catalog import metric_rows, query, r6, read
 from .structure import _TREE, _graph
@@ -164,3 +164,28 @@ def g6_hazard_impact(spark, sf):
     hazards = read(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file"), (-F.col("s_acctbal") / 1000).alias("hazard"))
     hit = project.code_impact(nodes, edges, starts, hazards, project.cycle_index(nodes, edges))
     return run.result(hit.select("id", r6("strength").alias("strength"), "hops"))
+
+
+@query("""SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'ledger' ELSE 'recall' END AS home, concat(event_type, ' of ', user_id) AS text, CASE WHEN first % 2 = 0 THEN 1 ELSE 2 END AS batch FROM events
+ JOIN (SELECT event_type, user_id, event_id % 3 = 0 AS l, min(CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END) AS first FROM events WHERE event_id % 3 <> 2 AND event_type <> 'error' GROUP BY ALL) f USING (event_type, user_id)
+ WHERE f.l = (event_id % 3 = 0) AND event_id % 3 <> 2 AND event_type <> 'error'""")
+def s28_routed_facts(spark, sf):
+    """Facts of the events in two batches, the second sent twice; errors pass for secrets, and one home in three only advises."""
+    run = Rounds(spark, "facts")
+    home = F.when(F.col("event_id") % 3 == 0, "ledger").when(F.col("event_id") % 3 == 1, "recall").otherwise("docs")
+    e = read(spark, sf, "events").select(F.concat("event_type", F.lit("  of "), F.col("user_id").cast("string")).alias("text"), home.alias("home"), (F.col("event_type") == "error").alias("secret"), "event_id")
+    store = sinks.FactStore(spark, f"{run.folder}/facts")
+    for part, batch in ((0, 1), (1, 2), (1, 2)):
+        store.store(e.where(F.col("event_id") % 2 == part), batch, F.col("home") == "docs")
+    return run.result(store.facts().select("home", "text", F.col("batch").cast("int").alias("batch")))
+
+
+@query("SELECT CASE WHEN s_acctbal < 0 THEN 'attic' ELSE 'live' END AS place, s_name FROM supplier")
+def s25_attic(spark, sf):
+    """Claims on suppliers, of which those with a balance below nothing move to the attic."""
+    run = Rounds(spark, "attic")
+    c = read(spark, sf, "supplier").select(F.sha2("s_name", 256).alias("id"), "s_name", "s_acctbal")
+    store = sinks.ClaimStore(spark, f"{run.folder}/claims", "id string, s_name string, s_acctbal double")
+    store.add(c)
+    store.prune(c.where("s_acctbal < 0"))
+    return run.result(store.live().select(F.lit("live").alias("place"), "s_name").union(store.attic().select(F.lit("attic"), "s_name")))
