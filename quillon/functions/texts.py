@@ -45,6 +45,7 @@ RED_FLAGS = {
     "wget_to_shell": r"(?i)\bwget\b[^\n|]*\|\s*(sh|bash|zsh)\b",
     "decoded_to_shell": r"(?i)base64\s+(--decode|-d|-D)\b[^\n]*\|\s*(sh|bash)",
     "injection": r"(?i)ignore\s+(all\s+)?(your\s+)?previous\s+instructions|disregard\s+(your|the|all)\s+(system|previous|prior)",
+    "credential_read": r"(?i)(id_rsa|id_ed25519|\.aws/credentials|\.claude\.json|\.env)\b[^\n]{0,80}\b(curl|wget|nc|https?://|base64|>\s*/dev/tcp)",
     "recursive_delete": r"(?i)\brm\s+-rf\s+[~/]",
     "dynamic_code": r"(?i)\beval\s*\(\s*(await\s+)?fetch|child_process|\bexec(Sync)?\s*\(",
 }
@@ -106,6 +107,20 @@ def entropy(text: Column) -> Column:
     return once(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), of)
 
 
+# Rules that warn but do not block, and what an encoded payload looks like: length and bits for each character.
+WARNINGS = ("recursive_delete", "dynamic_code")
+BLOB, BLOB_BITS = r"[A-Za-z0-9+/=]{200,}", 4.5
+
+
+def scanned(text: Column) -> Column:
+    """``flags, blobs, critical, high, safe`` of an instruction text; safe is only the absence of a known shape.  Null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    blobs = F.size(F.filter(F.regexp_extract_all(text, F.lit(BLOB), F.lit(0)), lambda b: entropy(b) >= BLOB_BITS))
+    critical = F.exists(red_flags(text), lambda f: ~f.isin(*WARNINGS))
+    high = F.exists(red_flags(text), lambda f: f.isin(*WARNINGS)) | (blobs > 0)
+    return F.struct(red_flags(text).alias("flags"), blobs.alias("blobs"), critical.alias("critical"), high.alias("high"), (~critical & ~high).alias("safe"))
+
+
 def red_flags(text: Column) -> Column:
     """Names of the rules that a text breaks."""
     return F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in RED_FLAGS.items()]))
