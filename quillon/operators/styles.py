@@ -145,3 +145,22 @@ def lesson_state(events: Column, half_life: int = 45) -> Column:
         return F.when(s["status"] == "retired", s).when(e["confirm"], up).otherwise(down)
 
     return F.aggregate(events, start, step)
+
+
+# What a deliberate system keeps to: share of spacing on the scale, levels of radius and shadow, colours.
+ON_SCALE_AT_LEAST, RADIUS_LEVELS, SHADOW_LEVELS, PALETTE = 0.9, 3, 3, 8
+
+
+def scale_checks(prints: DataFrame, key: str, base: Column | None = None, slack: float = 0.5) -> DataFrame:
+    """``key, id, pass, found, off``: one row for each rule of a fingerprint; ``found`` is the measured figure, ``off`` the spacing values that a base does not divide.
+
+    ``base`` is the declared spacing base, else the inferred one.  A feature that is not there passes.
+    """
+    base = F.col("base") if base is None else F.coalesce(base, F.col("base"))
+    off = F.when(base.isNull() | (base == 0), F.array().cast("array<double>")).otherwise(F.filter("spacing", lambda v: F.abs(v - F.floor(v / base + 0.5) * base) > slack))
+    share = F.when(F.size("spacing") > 0, 1 - F.size(off) / F.size("spacing")).otherwise(1.0)
+    none = F.array().cast("array<double>")
+    row = lambda name, found, ok, rest=none: F.struct(F.lit(name).alias("id"), ok.alias("pass"), found.cast("double").alias("found"), rest.alias("off"))
+    most = lambda name, c, limit: row(name, F.col(c), F.col(c) <= limit)
+    rules = F.array(row("spacing-scale", share, share >= ON_SCALE_AT_LEAST, off), most("radius-levels", "radius_levels", RADIUS_LEVELS), most("shadow-levels", "shadow_levels", SHADOW_LEVELS), most("palette-size", "palette", PALETTE))
+    return prints.select(key, F.explode(rules).alias("r")).select(key, "r.*")

@@ -200,3 +200,15 @@ def w_lag_lead_ntile(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     p = F.col("o_totalprice")
     return read(spark, sf, "orders").select("o_orderkey", F.lag(p).over(w).alias("before"), F.lead(p).over(w).alias("after"), F.ntile(4).over(w).cast("long").alias("quarter"))
+
+
+_OFF = "list_filter(spacing, lambda v: abs(v - floor(v / base + 0.5) * base) > 0.5)"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, palette, spacing, base, radius_levels, shadow_levels, {_OFF} AS off FROM ({_DUCK}))
+ SELECT p_partkey, 'spacing-scale' AS id, CASE WHEN len(spacing) > 0 THEN 1 - len(off)::DOUBLE / len(spacing) ELSE 1 END >= 0.9 AS pass, round(CASE WHEN len(spacing) > 0 THEN 1 - len(off)::DOUBLE / len(spacing) ELSE 1 END, 6) AS found, len(off) AS n_off FROM f
+ UNION ALL SELECT p_partkey, 'radius-levels', radius_levels <= 3, radius_levels::DOUBLE, 0 FROM f UNION ALL SELECT p_partkey, 'shadow-levels', shadow_levels <= 3, shadow_levels::DOUBLE, 0 FROM f
+ UNION ALL SELECT p_partkey, 'palette-size', palette <= 8, palette::DOUBLE, 0 FROM f""")
+def p18_scale_checks(spark, sf):
+    c = Y.scale_checks(_prints(spark, sf), "p_partkey")
+    return c.select("p_partkey", "id", "pass", r6("found").alias("found"), F.size("off").alias("n_off"))
