@@ -105,3 +105,29 @@ def discounted(items: DataFrame, source: str, score: str, id_col: str, rate: flo
     """Adds ``value``: the score, discounted for each better item of the same source."""
     w = Window.partitionBy(source).orderBy(F.desc(score), id_col)
     return items.withColumn("value", F.col(score) * F.pow(F.lit(rate), F.row_number().over(w) - 1))
+
+
+# What each signal of a task adds to its complexity, and where the tiers begin.
+COMPLEXITY_BASE = 1.5
+COMPLEXITY_ADDS = {"algorithmic": 4.0, "architectural": 4.0, "moderate": 2.0, "multistep": 1.0, "code": 1.0}
+TRIVIAL, LONG, MEDIUM, MANY = -3.0, (120, 1.5), (55, 0.7), (5, 1.0)
+TIER_FROM = (3.0, 6.0)
+
+
+def additive_complexity(flags: dict[str, Column], trivial: Column, tokens: Column, constraints: Column) -> Column:
+    """``score, tier`` of a task by adding up what its signals are worth; a trivial marker counts only without a hard signal."""
+    score = F.lit(COMPLEXITY_BASE)
+    for name, worth in COMPLEXITY_ADDS.items():
+        score = score + F.when(flags[name], worth).otherwise(0.0)
+    score = score + F.when(tokens > LONG[0], LONG[1]).when(tokens > MEDIUM[0], MEDIUM[1]).otherwise(0.0) + F.when(constraints >= MANY[0], MANY[1]).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), score + F.when(trivial & ~flags["algorithmic"] & ~flags["architectural"], TRIVIAL).otherwise(0.0))
+    return F.struct(score.alias("score"), F.when(score < TIER_FROM[0], "cheap").when(score <= TIER_FROM[1], "mid").otherwise("premium").alias("tier"))
+
+
+def additive_completeness(anchors: Column, specifics: Column, vague: Column, words: Column, ask_below: float = 0.6) -> Column:
+    """``completeness, risk, ask`` of a request: earned by anchors and named specifics, eroded by vague words and brevity."""
+    detail = F.when((words >= 30) & (specifics >= 2), 0.2).when((words >= 22) & (specifics >= 1), 0.1).otherwise(0.0)
+    base = 0.45 + F.least(F.lit(0.45), 0.18 * anchors) + F.least(F.lit(0.2), 0.06 * specifics) - 0.22 * vague - F.when(words <= 7, 0.22).otherwise(0.0) + detail
+    c = F.round(clamp01(base), 9)  # sums of hundredths: the limits are meant exactly
+    bare = (anchors == 0) & ((words <= 10) | ((vague >= 1) & (specifics == 0)))
+    return F.struct(c.alias("completeness"), F.when(c < 0.45, "high").when(c < 0.7, "medium").otherwise("low").alias("risk"), ((c < ask_below) | bare).alias("ask"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import diffs, gates, ledger, metrics, project
+from ..operators import decisions, diffs, gates, ledger, metrics, project
 from ..sources import logs, sinks
 from ..sources.rounds import Rounds
 from .catalog import metric_rows, query, r6, read
@@ -228,3 +228,21 @@ def p24_lens_votes(spark, sf):
     rows = project.lens_rows(o, files, added, tests, unknown, locks, near)
     c = gates.consensus(rows, "change")
     return c.select("change", r6("p").alias("p"), "families", F.round("residual", 9).alias("residual"), "status")
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, 1.5 + CASE WHEN l_returnflag = 'A' THEN 4.0 ELSE 0 END + CASE WHEN l_partkey % 11 = 0 THEN 4.0 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 2.0 ELSE 0 END + CASE WHEN l_partkey % 3 = 0 THEN 1.0 ELSE 0 END
+  + CASE WHEN l_partkey % 5 = 0 THEN 1.0 ELSE 0 END + CASE WHEN l_quantity * 4 > 120 THEN 1.5 WHEN l_quantity * 4 > 55 THEN 0.7 ELSE 0 END + CASE WHEN l_linenumber >= 5 THEN 1.0 ELSE 0 END + CASE WHEN l_suppkey % 2 = 0 AND l_returnflag <> 'A' AND l_partkey % 11 <> 0 THEN -3.0 ELSE 0 END AS x FROM lineitem)
+ SELECT l_orderkey, l_linenumber, round(greatest(0, x)::DOUBLE, 4) AS score, CASE WHEN x < 3 THEN 'cheap' WHEN x <= 6 THEN 'mid' ELSE 'premium' END AS tier FROM s""")
+def f33_complexity(spark, sf):
+    k = F.col("l_partkey")
+    flags = {"algorithmic": F.col("l_returnflag") == "A", "architectural": k % 11 == 0, "moderate": F.col("l_linestatus") == "F", "multistep": k % 3 == 0, "code": k % 5 == 0}
+    c = decisions.additive_complexity(flags, F.col("l_suppkey") % 2 == 0, F.col("l_quantity") * 4, F.col("l_linenumber"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", F.round("c.score", 4).alias("score"), "c.tier")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS a, l_partkey % 5 AS s, l_suppkey % 3 AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
+ c AS (SELECT *, least(1, greatest(0, 0.45::DOUBLE + least(0.45, 0.18 * a) + least(0.2, 0.06 * s) - 0.22 * v - CASE WHEN w <= 7 THEN 0.22 ELSE 0 END + CASE WHEN w >= 30 AND s >= 2 THEN 0.2 WHEN w >= 22 AND s >= 1 THEN 0.1 ELSE 0 END)) AS c FROM r)
+ SELECT l_orderkey, l_linenumber, round(c, 6) AS completeness, CASE WHEN round(c, 9) < 0.45 THEN 'high' WHEN round(c, 9) < 0.7 THEN 'medium' ELSE 'low' END AS risk, round(c, 9) < 0.6 OR (a = 0 AND (w <= 10 OR (v >= 1 AND s = 0))) AS ask FROM c""")
+def f33_completeness(spark, sf):
+    c = decisions.additive_completeness(F.col("l_linenumber") % 4, F.col("l_partkey") % 5, F.col("l_suppkey") % 3, F.col("l_quantity").cast("long"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", r6("c.completeness").alias("completeness"), "c.risk", "c.ask")
