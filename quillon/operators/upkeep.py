@@ -127,3 +127,28 @@ def checkpoint_calls(calls: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def newest(rows: DataFrame, by: str, at: str, name: str) -> DataFrame:
     return rows.groupBy(by).agg(F.max_by(name, F.struct(at, name)).alias(name))
+
+
+def canonical(fields: dict[str, Column]) -> Column:
+    """JSON text of the fields in the order of their names, without null ones; equal contents have equal texts."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "true"})
+
+
+def claim(kind: str, fields: dict[str, Column], scope: Column | None = None) -> Column:
+    """``kind, body, scope, id``: a claim with its body in canonical form; the id covers kind, body and scope, and not who says it or when."""
+    body = canonical(fields)
+    scope = F.coalesce(scope, F.lit("repo")) if scope is not None else F.lit("repo")
+    return F.struct(F.lit(kind).alias("kind"), body.alias("body"), scope.alias("scope"), F.sha2(F.concat_ws("\n", F.lit(kind), body, scope), 256).alias("id"))
+
+
+def fact_claim(name: Column, text: Column, scope: Column | None = None) -> Column:
+    return claim("fact", {"name": F.trim(name), "text": F.trim(text)}, scope)
+
+
+def lesson_claim(wrong: Column, right: Column, files: Column, symbols: Column, scope: Column | None = None) -> Column:
+    """A lesson's triggers are sets, so their order and repeats do not make another claim."""
+    return claim("lesson", {"wrong": F.trim(wrong), "right": F.trim(right), "files": F.array_sort(F.array_distinct(files)), "symbols": F.array_sort(F.array_distinct(symbols))}, scope)
+
+
+def artifact_claim(spec: Column, part: Column, deps: Column, interface: Column, scope: Column | None = None) -> Column:
+    return claim("artifact", {"spec": F.trim(spec), "slice": part, "deps": F.array_sort(F.array_distinct(deps)), "interface": F.array_sort(F.array_distinct(interface))}, scope)

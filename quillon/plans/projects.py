@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import decisions, diffs, gates, ledger, metrics, project
+from ..operators import upkeep as K
 from ..sources import logs, sinks
 from ..sources.rounds import Rounds
 from .catalog import metric_rows, query, r6, read
@@ -246,3 +247,15 @@ def f33_complexity(spark, sf):
 def f33_completeness(spark, sf):
     c = decisions.additive_completeness(F.col("l_linenumber") % 4, F.col("l_partkey") % 5, F.col("l_suppkey") % 3, F.col("l_quantity").cast("long"))
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", r6("c.completeness").alias("completeness"), "c.risk", "c.ask")
+
+
+@query("""WITH b AS (SELECT p_partkey, concat('{"deps":[', CASE WHEN p_size % 2 = 0 THEN '"a","b"' ELSE '"b"' END, '],"interface":["', p_brand, '"],"slice":"', p_type, '","spec":"', p_name, '"}') AS body, CASE WHEN p_size % 3 = 0 THEN 'dir' ELSE 'repo' END AS scope FROM part)
+ SELECT p_partkey, 'artifact' AS kind, body, scope, sha256(concat('artifact', chr(10), body, chr(10), scope)) AS id FROM b
+ UNION ALL SELECT p_partkey, 'fact', concat('{"name":"', p_brand, '","text":"', p_name, '"}'), 'repo', sha256(concat('fact', chr(10), '{"name":"', p_brand, '","text":"', p_name, '"}', chr(10), 'repo')) FROM part""")
+def p23_claims(spark, sf):
+    """Claims on the parts: dependencies in any order and twice, names with white space around them."""
+    p = read(spark, sf, "part")
+    deps = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))
+    a = K.artifact_claim(F.concat(F.lit("  "), "p_name", F.lit(" ")), F.col("p_type"), deps, F.array("p_brand"), F.when(F.col("p_size") % 3 == 0, "dir"))
+    both = p.select("p_partkey", F.explode(F.array(a, K.fact_claim(F.col("p_brand"), F.concat("p_name", F.lit(" "))))).alias("c"))
+    return both.select("p_partkey", "c.*")
