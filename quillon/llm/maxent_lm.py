@@ -193,7 +193,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 u, first, c = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "tail": tail[first].astype(np.int8), "c": c.astype(np.int64)})
 
-    rows = docs.select(text_col).mapInArrow(run, "h long, tail tinyint, c long")
+    rows = docs.select(text_col).mapInArrow(U.tidy(run), "h long, tail tinyint, c long")
     return rows.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
