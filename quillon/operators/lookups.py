@@ -103,12 +103,12 @@ def suffix_targets(edges: DataFrame, nodes: DataFrame, unique: float = 0.9, shar
 
     One such node costs a tenth of the confidence, several (the smallest name is taken) three tenths.
     """
-    parts = nodes.select(F.col("id").alias("dst"), F.split("id", r"\.").alias("_p"))
-    node_ends = parts.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.array_join(F.slice("_p", i, F.size("_p")), "."))).alias("_end"))
-    e = edges.select("src", "target", "confidence", F.split("target", r"\.").alias("_p"))
-    ends = e.select("src", "target", "confidence", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.array_join(F.slice("_p", i, F.size("_p")), "."))).alias("_k", "_end"))
-    best = ends.join(node_ends, "_end").groupBy("src", "target", "confidence", "_k").agg(F.min("dst").alias("dst"), F.count_distinct("dst").alias("n"))
-    top = best.groupBy("src", "target", "confidence").agg(F.min_by(F.struct("dst", "n"), "_k").alias("b"))
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda i: F.array_join(F.slice(F.split(c, r"\."), i, F.size(F.split(c, r"\."))), "."))
+    # an ending is one row, however many nodes have it, and a target is looked up once, however many edges name it
+    by_end = nodes.select(F.col("id").alias("dst")).distinct().select("dst", F.explode(ends("dst")).alias("_end")).groupBy("_end").agg(F.min("dst").alias("dst"), F.count("*").alias("n"))
+    e = edges.select("src", "target", "confidence").distinct()
+    wanted = e.select("target").distinct().select("target", F.posexplode(ends("target")).alias("_k", "_end"))
+    top = e.join(wanted.join(by_end, "_end").groupBy("target").agg(F.min_by(F.struct("dst", "n"), "_k").alias("b")), "target")
     return top.select("src", "target", F.col("b.dst").alias("dst"), (F.col("confidence") * F.when(F.col("b.n") == 1, unique).otherwise(shared)).alias("confidence"))
 
 
