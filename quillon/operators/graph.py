@@ -44,19 +44,22 @@ def impact(edges: DataFrame, starts: DataFrame, decay: float = 0.85, threshold:
     kept = Rounds(edges.sparkSession, "impact")
     key = [*by, "id"]
     e = kept.keep(edges.groupBy(F.col("dst").alias("id"), F.col("src").alias("to")).agg(F.max("w").alias("w")).where("w is not null"))
-    best = kept.keep(starts.select(*key).distinct().select(*key, F.lit(1.0).alias("strength"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+    fronts = [kept.keep(starts.select(*key).distinct().select(*key, F.lit(1.0).alias("strength"), F.lit(0).alias("hops")))]
+    # a round writes only what it reached more strongly than all before; no offer is better than a start
+    best = F.when(F.col("hops") == 0, float("inf")).otherwise(F.col("strength"))
     for hop in range(1, hops + 1):
-        step = best.where("fresh").join(e, "id").select(*by, F.col("to").alias("id"), (F.col("strength") * F.col("w") * decay).alias("offer"))
-        step = step.where(F.col("offer") >= threshold).groupBy(*key).agg(F.max("offer").alias("offer"))
-        both = best.drop("fresh").join(step, key, "full_outer")
-        better = (F.coalesce("hops", F.lit(hop)) > 0) & F.coalesce(F.col("offer") > F.coalesce("strength", F.lit(0.0)), F.lit(False))
-        new = both.select(*key, F.when(better, F.col("offer")).otherwise(F.col("strength")).alias("strength"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), better.alias("fresh"))
-        new = kept.keep(new, fresh=F.count_if(F.col("fresh")))
-        kept.drop(best)
-        best = new
-        if not kept.seen["fresh"]:
+        step = fronts[-1].join(e, "id").select(*by, F.col("to").alias("id"), (F.col("strength") * F.col("w") * decay).alias("offer")).where(F.col("offer") >= threshold)
+        step = step.withColumn("best", F.lit(None).cast("double"))
+        for f in fronts:
+            step = step.union(f.select(*key, F.lit(None).cast("double"), best))
+        new = step.groupBy(*key).agg(F.max("offer").alias("offer"), F.max("best").alias("best")).where("offer > coalesce(best, 0.0)")
+        fronts.append(kept.keep(new.select(*key, F.col("offer").alias("strength"), F.lit(hop).alias("hops"))))
+        if not kept.seen["n"]:
             break
-    return kept.result(best.where("hops > 0").select(*key, "strength", "hops"))
+    found = fronts[0].where("false")
+    for f in fronts[1:]:
+        found = found.union(f)
+    return kept.result(found.groupBy(*key).agg(F.max("strength").alias("strength"), F.max("hops").alias("hops")))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
