@@ -3,6 +3,7 @@
 import random
 
 from quillon.operators import biconnected, running
+from quillon.sources import rounds
 
 
 def parts(nodes, edges):
@@ -53,3 +54,24 @@ def test_choke_points_of_nothing(spark):
     assert biconnected.chokepoints(nodes, none).count() == 0
     assert biconnected.chokepoints(nodes, spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0
     assert biconnected.chokepoints(nodes.where("id > 5"), none).count() == 0
+
+
+def test_choke_points_by_levels_and_by_tour(spark, monkeypatch):
+    """A shallow graph goes level by level, each row a bounded number of times; a deep one by the tour; both with long ids as they are."""
+    rng = random.Random(9)
+    shallow = [(rng.randrange(60), 1000 + rng.randrange(150)) for _ in range(230)]
+    deep = [(i, i + 1) for i in range(9)] + [(2, 4), (8, 10)]
+    written, keep = [], rounds.Rounds.keep
+
+    def counted(self, df, **watch):
+        out = keep(self, df, **watch)
+        written.append(self.seen["n"])
+        return out
+
+    monkeypatch.setattr(rounds.Rounds, "keep", counted)
+    for pairs, levels in ((shallow, 24), (deep, 3)):
+        written.clear()
+        got = biconnected.chokepoints(None, spark.createDataFrame(pairs, "src long, dst long"), levels)
+        assert {r.id: r.splits for r in got.collect()} == brute({v for x in pairs for v in x}, pairs)
+        if (pairs, levels) == (shallow, 24):
+            assert sum(written) < 30 * len(pairs)
