@@ -94,11 +94,50 @@ def labelled(kept: Rounds, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """``id, component`` (largest id in it) of nodes on a cycle of two or more; edges are ``src, dst``.
 
-    Forward colours: every node takes the largest id that reaches it.  A colour's own node
-    together with the nodes of that colour that reach it is a component; the rest goes on.
+    Nodes with a single way out make chains, which pointers that double follow to their ends: a cycle of such nodes is a component,
+    any other chain is drawn together into the node at its end.  Only nodes with several ways out are left for ``_coloured``;
+    a chain's node belongs to the component at its end if that component leads into the chain at or before the node.
     """
     kept = Rounds(edges.sparkSession, "strong-components")
     live = kept.keep(edges.select("src", "dst").where("src <> dst").distinct())
+    out = kept.keep(live.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("to"), F.count("*").alias("ways")), single=F.count_if(F.col("ways") == 1))
+    single, branches = kept.seen["single"], kept.seen["n"] - (kept.seen["single"] or 0)
+    if not single:
+        return kept.result(_coloured(kept, kept.keep(live)))
+    # where each lies 1, 2, 4, ... steps on (at the end of the chain, if that comes first), and the largest id on the way there
+    jumps = [kept.keep(out.where("ways = 1").select("id", "to", F.col("id").alias("top")))]
+    while 2 ** (len(jumps) - 1) < single:
+        far = jumps[-1].select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("top").alias("over"))
+        new = jumps[-1].join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"), F.greatest("top", "over").alias("top"), F.col("far").isNotNull().alias("moved"))
+        jumps.append(kept.keep(new, moved=F.count_if(F.col("moved"))))
+        if not kept.seen["moved"]:
+            break
+    chain = jumps[0].select("id")
+    ring = kept.keep(jumps[-1].select(F.col("to").alias("id")).distinct().join(chain, "id", "left_semi"))  # after so many steps one is on a cycle or at an end
+    done = jumps[-1].join(ring, "id").select("id", F.col("top").alias("component"))
+    if not branches:
+        return kept.result(done)
+    branch = out.where("ways > 1").select("id")
+    ends = kept.keep(jumps[-1].join(branch.withColumnRenamed("id", "to"), "to", "left_semi").select("id", F.col("to").alias("end")))
+    tied = live.join(branch.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", F.coalesce("end", "dst").alias("end"))
+    tied = kept.keep(tied.join(branch.withColumnRenamed("id", "end"), "end", "left_semi"))
+    core = _coloured(kept, kept.keep(tied.where("src <> end").select("src", F.col("end").alias("dst")).distinct()))
+    group = kept.keep(branch.join(core, "id", "left").select("id", F.coalesce("component", "id").alias("g")))
+    of = lambda c, g: group.select(F.col("id").alias(c), F.col("g").alias(g))
+    back = tied.where("dst <> end").join(of("src", "a"), "src").join(of("end", "b"), "end").where("a = b")
+    marked = kept.keep(back.select(F.col("dst").alias("id")).distinct())
+    for jump in jumps:
+        marked = kept.keep(marked.union(jump.join(marked, "id", "left_semi").select(F.col("to").alias("id")).join(ends, "id", "left_semi")).distinct())
+    members = kept.keep(group.union(ends.join(marked, "id", "left_semi").join(of("end", "g"), "end").select("id", "g")))
+    large = members.groupBy("g").agg(F.max("id").alias("component"), F.count("*").alias("k")).where("k > 1").select("g", "component")
+    return kept.result(done.union(members.join(large, "g").select("id", "component")))
+
+
+def _coloured(kept: Rounds, live: DataFrame) -> DataFrame:
+    """Components by forward colours: every node takes the largest id that reaches it.
+
+    A colour's own node together with the nodes of that colour that reach it is a component; the rest goes on.  ``live`` was kept last.
+    """
     done = live.select(F.col("src").alias("id"), F.col("dst").alias("component")).where("false")
     while kept.seen["n"]:
         nodes = live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()
@@ -124,4 +163,4 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = kept.keep(done.union(found))
         left = live.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
         live = kept.keep(left.select("src", "dst"))
-    return kept.result(done)
+    return done

@@ -1,5 +1,7 @@
 """Steps whose work must grow with their input alone."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillon.operators import graph, lookups
@@ -55,3 +57,36 @@ def test_suffix_targets_meet_an_ending_once(spark):
     assert {(r.target, r.dst, round(r.confidence, 4)) for r in got.collect()} == {("f", "m0.f", 0.35)} and got.count() == 300
     met = lookups.suffix_targets(edges, nodes)._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct" not in met
+
+
+def test_long_chains_are_followed_by_doubling(spark, monkeypatch):
+    """A ring, a chain into a ring, chains that a branching part leads into and that lead back, and random graphs; a chain of 300 takes few rounds."""
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(300)] + [(300, 200)]  # a tail of 200 into a ring of 101
+    pairs += [(1000, 1001), (1001, 1002), (1002, 1000), (1000, 1005), (1005, 1006), (1007, 1001), (1000, 1000)]  # 1000 branches, 1005 leads out, 1007 leads in
+    pairs += [(2000, 2001), (2000, 2002), (2001, 2000), (2002, 2003)]
+    for base, n, m in ((3000, 30, 40), (4000, 20, 60)):
+        pairs += [(base + rng.randrange(n), base + rng.randrange(n)) for _ in range(m)]
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    reach = {}
+    for v in {x for p in pairs for x in p}:
+        seen, todo = set(), [v]
+        while todo:
+            for w in ahead.get(todo.pop(), ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        reach[v] = seen
+    groups = {v: {w for w in reach[v] if v in reach[w]} | {v} for v in reach}
+    rounds_, keep = [], Rounds.keep
+
+    def counted(self, df, **watch):
+        rounds_.append(1)
+        return keep(self, df, **watch)
+
+    monkeypatch.setattr(Rounds, "keep", counted)
+    got = graph.strong_components(spark.createDataFrame(pairs, "src long, dst long"))
+    assert {r.id: r.component for r in got.collect()} == {v: max(g) for v, g in groups.items() if len(g) > 1}
+    assert len(rounds_) < 120
