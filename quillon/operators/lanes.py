@@ -10,25 +10,28 @@ cut is compared block against block.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.rounds import Rounds
 from .graph import labelled
-from .sketches import ADAPT, FNV_PRIME, FNV_START, LANE_A, LANE_B, LANES, NEAR
+from .sketches import ADAPT, BANDS, FNV_PRIME, FNV_START, LANE_A, LANE_B, LANES, NEAR
 
 #: Members of a bucket that are paired, rows of a block, cuts of a crowded bucket.
 CROWD = 64
 BLOCK = 512
 CUTS = 3
-#: Shingle characters that are hashed at once, and shingles so few that they are hashed one by one.
-SLICE = 1 << 20
+#: Bytes of texts that are hashed at once, and shingles so few that they are hashed one by one.
+SLICE = 1 << 18
 FEW = 16
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(97, 123)]] = True
@@ -101,40 +104,62 @@ def _fnv(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = FNV_S
     return out
 
 
-def _runs(texts: list[str | None]):
-    """(first, end) of runs of texts with about ``SLICE`` characters; a longer text is a run by itself."""
+def _runs(texts: pa.Array):
+    """(first, end, texts) of runs with about ``SLICE`` bytes; a longer text is a run by itself.  Only one run is there as Python strings."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
-    while lo < len(texts):
-        hi, chars = lo, 0
-        while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= SLICE):
-            chars += len(texts[hi] or "")
-            hi += 1
-        yield lo, hi
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (int(upto[lo - 1]) if lo else 0) + SLICE, side="right")))
+        yield lo, hi, texts[lo:hi].to_pylist()
         lo = hi
 
 
+def _trim() -> None:
+    """Give this worker's free memory back: it is used again for further tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def sketched(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, sk``: the sketch of each text as bytes; null is an empty text."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in _runs(texts):
-                sk = sketches_of(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([r.tobytes() for r in sk], pa.binary())], ["id", "sk"])
+            for lo, hi, texts in _runs(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([r.tobytes() for r in sketches_of(texts)], pa.binary())], ["id", "sk"])
+        _trim()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, sk binary")
 
 
+def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, sketch_sha256, band`` of each text: the digest of its sketch and its first band key, as ``sketches.band_keys`` has it."""
+    rows = LANES // BANDS
+    sha = lambda lanes: hashlib.sha256(",".join(map(str, lanes)).encode()).hexdigest()
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, texts in _runs(b.column(1)):
+                sk = [s.tolist() for s in sketches_of(texts)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([sha(s) for s in sk]), pa.array(["0:" + sha(s[:rows])[:16] for s in sk])], [id_col, "sketch_sha256", "band"])
+        _trim()
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sketch_sha256 string, band string")
+
+
 def shingle_counts(df: DataFrame, id_col: str, text_col: str, n: int = 4) -> DataFrame:
     """``id_col, n``: distinct shingles of each text; null is an empty text."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in _runs(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(shingle_counts_of(texts[lo:hi], n).astype(np.int64))], [id_col, "n"])
+            for lo, hi, texts in _runs(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(shingle_counts_of(texts, n).astype(np.int64))], [id_col, "n"])
+        _trim()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import colour, texts
-from ..operators import decisions, lanes, ledger, sessions, sketches
+from ..operators import decisions, lanes, ledger, sessions
 from ..sources import logs
 from ..sources.rounds import shared_folder
 from ..streaming import events as live
@@ -242,5 +242,4 @@ def r11_clusters(spark, sf):
 @query(None)
 def r9_band_keys(spark, sf):
     """Digest of every document's sketch, and its first band key."""
-    d = read(spark, sf, "documents").select("doc_id", sketches.sketch(F.col("text")).alias("sk"))
-    return d.select("doc_id", F.sha2(F.array_join("sk", ","), 256).alias("sketch_sha256"), sketches.band_keys("sk")[0].alias("band"))
+    return lanes.digests(read(spark, sf, "documents"), "doc_id", "text")
