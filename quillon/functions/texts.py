@@ -104,7 +104,7 @@ def entropy(text: Column) -> Column:
         spans = F.zip_with(F.slice(cuts, 2, F.size(cuts)), cuts, lambda b, a: F.coalesce((b - a) / n, F.lit(0.0)))
         return F.when(n == 0, 0.0).otherwise(F.aggregate(spans, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0)))
 
-    return once(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), of)
+    return once(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")), of)
 
 
 # Rules that warn but do not block, and what an encoded payload looks like: length and bits for each character.
@@ -114,11 +114,17 @@ BLOB, BLOB_BITS = r"[A-Za-z0-9+/=]{200,}", 4.5
 
 def scanned(text: Column) -> Column:
     """``flags, blobs, critical, high, safe`` of an instruction text; safe is only the absence of a known shape.  Null is empty."""
-    text = F.coalesce(text, F.lit(""))
-    blobs = F.size(F.filter(F.regexp_extract_all(text, F.lit(BLOB), F.lit(0)), lambda b: entropy(b) >= BLOB_BITS))
-    critical = F.exists(red_flags(text), lambda f: ~f.isin(*WARNINGS))
-    high = F.exists(red_flags(text), lambda f: f.isin(*WARNINGS)) | (blobs > 0)
-    return F.struct(red_flags(text).alias("flags"), blobs.alias("blobs"), critical.alias("critical"), high.alias("high"), (~critical & ~high).alias("safe"))
+
+    def found(t: Column) -> Column:
+        blobs = F.size(F.filter(F.regexp_extract_all(t, F.lit(BLOB), F.lit(0)), lambda b: entropy(b) >= BLOB_BITS))
+        return F.struct(red_flags(t).alias("flags"), blobs.alias("blobs"))
+
+    def judged(s: Column) -> Column:
+        warned = F.arrays_overlap(s["flags"], F.array(*map(F.lit, WARNINGS)))
+        critical, high = F.size(F.array_except(s["flags"], F.array(*map(F.lit, WARNINGS)))) > 0, warned | (s["blobs"] > 0)
+        return F.struct(s["flags"].alias("flags"), s["blobs"].alias("blobs"), critical.alias("critical"), high.alias("high"), (~critical & ~high).alias("safe"))
+
+    return once(once(F.coalesce(text, F.lit("")), found), judged)
 
 
 def red_flags(text: Column) -> Column:
