@@ -9,7 +9,7 @@ from ..sources import caches, code, replicas
 from ..sources.rounds import Rounds
 from ..streaming import drift
 from ..streaming import events as live
-from .catalog import query, r6, read
+from .catalog import query, r6, read, spread
 
 _BUDGET = 2_000
 _ITEM = """SELECT doc_id // 20 AS task, doc_id AS item, source, doc_id % 3 = 0 AS req, (doc_id * 37 % 101) / 100.0::DOUBLE AS score, CAST(ceil(length(text) / 3.6::DOUBLE) AS BIGINT) AS a,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import css, gates, graph, metrics
 from ..operators import retrieval as R
 from ..operators import styles as Y
-from .catalog import CLAIMS, NOW, _conf_sql, claims, evidence, query, r6, read
+from .catalog import CLAIMS, NOW, _conf_sql, claims, evidence, query, r6, read, spread
 
 _FP = "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN ARR() ELSE ARR((p_partkey * 7 % 360) * 1.0, (p_size * 13 % 360) * 1.0) END AS hues, p_size % 7 AS palette, CASE WHEN p_size % 6 = 1 THEN ARR() ELSE ARR(4.0, 8.0, p_size * 1.0) END AS spacing, CASE WHEN p_size % 2 = 0 THEN 8.0 ELSE 4.0 END AS base, ARR(p_type) AS fonts, CASE WHEN p_size % 4 = 1 THEN ARR() ELSE ARR(p_size % 20 * 1.0) END AS radii, p_size % 3 AS radius_levels, p_size % 4 AS shadow_levels FROM part"
 _DUCK = "SELECT p_partkey, hues::DOUBLE[] AS hues, palette, spacing::DOUBLE[] AS spacing, base::DOUBLE AS base, fonts, radii::DOUBLE[] AS radii, radius_levels, shadow_levels FROM (" + _FP.replace("ARR(", "list_value(") + ")"
@@ -63,7 +63,7 @@ _HSL = """WITH c AS (SELECT *, p_partkey * 37 % 256 / 255.0::DOUBLE AS r, p_part
  lower(p_type) AS fonts, CAST(p_size AS VARCHAR) AS radii, 1 AS shadow_levels FROM f""")
 def f43_fingerprints(spark, sf):
     """Fingerprints of a stylesheet for each part, read from its text."""
-    p = read(spark, sf, "part").select("p_partkey", F.expr(_CSS).alias("css"))
+    p = spread(read(spark, sf, "part").select("p_partkey", "p_size", "p_type")).select("p_partkey", F.expr(_CSS).alias("css"))
     whole = lambda c: F.array_join(F.transform(c, lambda z: z.cast("int").cast("string")), ",")
     f = css.fingerprints(p, "p_partkey", "css")
     return f.select("p_partkey", whole("hues").alias("hues"), "palette", whole("spacing").alias("spacing"), F.col("base").cast("int").alias("base"), F.array_join("fonts", ",").alias("fonts"), whole("radii").alias("radii"), "shadow_levels")
@@ -72,7 +72,7 @@ def f43_fingerprints(spark, sf):
 @query(f"SELECT p_partkey, concat('.x{{padding:', p_size, 'px 8px;gap:1rem;color:rgb(', p_partkey * 37 % 256, ', ', p_partkey * 91 % 256, ', ', p_size * 5 % 256, ');border-radius:', p_size, 'px;') AS css FROM part")
 def f18_resolved(spark, sf):
     """The use of custom properties in a stylesheet for each part, up to the font."""
-    p = css.resolved(read(spark, sf, "part").select("p_partkey", F.expr(_CSS).alias("css")), "css")
+    p = css.resolved(spread(read(spark, sf, "part").select("p_partkey", "p_size", "p_type")).select("p_partkey", F.expr(_CSS).alias("css")), "css")
     return p.select("p_partkey", F.regexp_extract("css", r"(\.x\{.*;)font-family", 1).alias("css"))
 
 
