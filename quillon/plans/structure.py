@@ -127,7 +127,7 @@ _KIND_PATH = "CASE p_partkey % 8 WHEN 0 THEN concat('src/', p_brand, '.js') WHEN
 
 
 def _hunks(spark, sf):
-    d = read(spark, sf, "part").select("p_partkey", F.expr(_DIFF).alias("d"))
+    d = spread(read(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select("p_partkey", F.expr(_DIFF).alias("d"))
     return diffs.hunk_lines(d, "p_partkey", "d")
 
 
