@@ -198,9 +198,11 @@ def lens_rows(changes: DataFrame, files: DataFrame, added: DataFrame, tests: Dat
     odd = unknown.select("change", F.lit(True).alias("symbols")).distinct()
     lock = locks.groupBy("change").agg(F.bool_or("drifted").alias("speclock"))
     near = dependents.groupBy("change").agg(F.max("n").alias("n"))
-    c = changes.select("change").distinct()
+    # one group for each change, where a chain of joins would sort every part again and again
+    c = changes.select("change", F.lit(True).alias("own")).distinct()
     for part in (drift, leaks, suite, odd, lock, near):
-        c = c.join(part, "change", "left")
+        c = c.unionByName(part.where("change is not null"), allowMissingColumns=True)
+    c = c.groupBy("change").agg(*[F.max(x).alias(x) for x in c.columns if x != "change"]).where("own")
     yes = lambda x: F.when(F.coalesce(x, F.lit(False)), 1.0).otherwise(0.0)
     row = lambda lens, ran, s: F.struct(F.lit(lens).alias("lens"), F.coalesce(ran, F.lit(False)).alias("ran"), F.when(F.coalesce(ran, F.lit(False)), s).otherwise(0.0).alias("s"))
     always = F.lit(True)
