@@ -3,9 +3,10 @@
 A pair that agrees in ``need`` of ``LANES`` lanes differs in at most LANES - need, so when the lanes are cut into
 LANES - need + 1 groups, some group is equal throughout.  Every sketch enters one bucket for each of its groups, and each
 qualifying pair meets in a bucket: nothing is missed, whatever the data.  Buckets hold ids only; sketches are
-fetched for the pairs that meet.  Equal sketches are one class from the start.  A crowded bucket is not paired but cut again, by
-another grouping of the lanes, since its qualifying pairs have an equal group there too; what is still crowded after the last
-cut is compared block against block.
+fetched for the pairs that meet.  Equal sketches are one class from the start.  A crowded bucket is not paired.  ``clusters`` deals
+the members of all crowded buckets into blocks, and blocks that share buckets meet once; ``best_matches`` cuts a crowded bucket
+again, by another grouping of the lanes, since its qualifying pairs have an equal group there too, and compares what is still
+crowded then block against block.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ from ..sources.rounds import Rounds
 from .graph import labelled
 from .sketches import ADAPT, BANDS, FNV_PRIME, FNV_START, LANE_A, LANE_B, LANES, NEAR
 
-#: Members of a bucket that are paired, rows of a block, cuts of a crowded bucket.
+#: Members of a bucket that are paired, rows of a block.
 CROWD = 64
 BLOCK = 512
-CUTS = 3
 #: Bytes of texts that are hashed at once, and shingles so few that they are hashed one by one.
 SLICE = 1 << 18
 FEW = 16
@@ -220,9 +220,11 @@ def agreeing(pairs: DataFrame, left: DataFrame, right: DataFrame, need: int) ->
 
 
 def _links_of(group: pd.DataFrame, need: int) -> pd.DataFrame:
-    """A spanning forest of the agreeing rows of one block pair."""
+    """Agreeing rows of different components that meet, as a spanning forest of the components; rows of side 2 meet all, others those of another side."""
     sk = np.frombuffer(b"".join(group["sk"]), np.uint32).reshape(-1, LANES)
-    ids, root = group["id"].to_numpy(), list(range(len(group)))
+    ids, side = group["id"].to_numpy(), group["side"].to_numpy()
+    of = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+    root = list(range(len(group)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -232,8 +234,9 @@ def _links_of(group: pd.DataFrame, need: int) -> pd.DataFrame:
 
     a, b = [], []
     for i in range(len(sk) - 1):
-        for j in np.flatnonzero((sk[i + 1 :] == sk[i]).sum(1) >= need) + i + 1:
-            x, y = top(i), top(int(j))
+        rest = np.flatnonzero((of[i + 1 :] != of[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))) + i + 1
+        for j in rest[(sk[rest] == sk[i]).sum(1) >= need]:
+            x, y = top(int(of[i])), top(int(of[j]))
             if x != y:
                 root[y] = x
                 a.append(ids[i])
@@ -241,11 +244,36 @@ def _links_of(group: pd.DataFrame, need: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
+def _crowd_links(kept: Rounds, part: DataFrame, reps: DataFrame, need: int, block: int) -> DataFrame:
+    """``a, b``: links between different components inside crowded buckets (``bucket, id, component, m``, kept).
+
+    A crowd of texts much alike shares most of its buckets, so what meets is not told bucket by bucket: every member has one
+    chunk of about ``block``, of its component where that is large and otherwise of its most crowded bucket, and two chunks that share
+    buckets, however many, meet once.  Chunks of one large component do not meet.
+    """
+    none = F.lit(0).cast(part.schema["id"].dataType)
+    home = part.groupBy("id").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home"), F.any_value("component").alias("component"))
+    home = kept.keep(home)
+    large = home.groupBy("component").agg((F.count("*") >= max(block // 4, 2)).alias("big"))
+    home = home.join(large, "component").select("id", "component", "big", F.when(F.col("big"), F.col("component")).otherwise(none).alias("c"), F.when(F.col("big"), F.lit(0)).otherwise(F.col("home")).alias("home"))
+    size = home.groupBy("big", "c", "home").agg(F.ceil(F.count("*") / block).cast("int").alias("w"))
+    home = home.join(size, ["big", "c", "home"]).select("id", "component", F.struct("big", "c", "home", F.expr("cast(pmod(xxhash64(id), w) as int)").alias("w")).alias("chunk"))
+    home = kept.keep(home)
+    there = part.select("bucket", "id").join(home, "id").select("bucket", "chunk").distinct()
+    pairs = there.alias("x").join(there.alias("y"), "bucket").where("x.chunk <= y.chunk and not (x.chunk.big and y.chunk.big and x.chunk.c = y.chunk.c)")
+    pairs = kept.keep(pairs.select(F.col("x.chunk").alias("lo"), F.col("y.chunk").alias("hi")).distinct())
+    pairs = pairs.withColumn("pair", F.xxhash64("lo", "hi"))
+    low = pairs.join(home, pairs["lo"] == home["chunk"]).select("pair", "id", "component", F.when(F.col("lo") == F.col("hi"), 2).otherwise(0).alias("side"))
+    high = pairs.where("lo <> hi").join(home, F.col("hi") == home["chunk"]).select("pair", "id", "component", F.lit(1).alias("side"))
+    kind = part.schema["id"].dataType.simpleString()
+    return low.union(high).join(reps, "id").groupBy("pair").applyInPandas(lambda g: _links_of(g, need), f"a {kind}, b {kind}")
+
+
 def clusters(df: DataFrame, tau: float = 0.7, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """``id, cluster``: rows (``id, text``) of groups of two or more that agreements of ``tau`` or more connect; the smallest id names a group.
 
     A link inside a component that is already joined tells nothing, so in every bucket all members first meet the
-    smallest one, and only then members of different components meet.  Rows with a null id take no part; a repeated id is one member.
+    smallest one, and only then members of different components meet, those of crowded buckets block by block.  Rows with a null id take no part; a repeated id is one member.
     """
     need = math.ceil(round(tau * LANES, 9))
     groups = LANES - need + 1
@@ -255,11 +283,9 @@ def clusters(df: DataFrame, tau: float = 0.7, crowd: int = CROWD, block: int = B
     kind = df.schema["id"].dataType.simpleString()
     edges = kept.keep(reps.select(F.col("id").alias("src"), F.col("id").alias("dst")).where("false"))
     entries = bucketed(reps, groups)
-    for cut in range(CUTS):
-        shared = entries.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket", "first")
-        entries = kept.keep(entries.join(shared, "bucket"))
-        if not kept.seen["n"]:
-            break
+    shared = entries.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket", "first")
+    entries = kept.keep(entries.join(shared, "bucket"))
+    if kept.seen["n"]:
         stars = entries.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         edges = kept.keep(edges.union(agreeing(stars, reps, reps, need).select("a", "b")))
         of = labelled(kept, reps, edges)
@@ -269,17 +295,9 @@ def clusters(df: DataFrame, tau: float = 0.7, crowd: int = CROWD, block: int = B
         x, y = (part.where(F.col("m") <= crowd).select("bucket", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
         few = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
         edges = kept.keep(edges.union(agreeing(few, reps, reps, need).select("a", "b")))
-        entries = kept.keep(part.where(F.col("m") > crowd).select("id", F.col("bucket").alias("within")))
-        if not kept.seen["n"] or cut == CUTS - 1:
-            break
-        entries = bucketed(entries.join(reps, "id"), groups, cut + 1, "within")
-    if kept.seen["n"]:  # still crowded: blocks of members against each other
-        size = entries.groupBy("within").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
-        dealt = entries.join(size, "within").withColumn("u", F.expr("pmod(xxhash64(id, within), m)").cast("int"))
-        dealt = dealt.select("within", "id", "u", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("v"))
-        dealt = dealt.select("within", "id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).join(reps, "id")
-        found = dealt.groupBy("within", "lo", "hi").applyInPandas(lambda g: _links_of(g, need), f"a {kind}, b {kind}")
-        edges = kept.keep(edges.union(found))
+        many = kept.keep(part.where(F.col("m") > crowd))
+        if kept.seen["n"]:
+            edges = kept.keep(edges.union(_crowd_links(kept, many, reps, need, block)))
     of = labelled(kept, reps, edges)
     named = rows.select("id", "sk").join(reps.select("sk", F.col("id").alias("rep")), "sk").join(of.withColumnRenamed("id", "rep"), "rep").select("id", "component").distinct()
     large = named.groupBy("component").agg(F.count("*").alias("k"), F.min("id").alias("cluster")).where("k > 1").select("component", "cluster")
