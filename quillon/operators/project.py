@@ -10,8 +10,8 @@ from ..sources.rounds import Rounds
 from . import graph, metrics
 from .gates import path_class, slug
 
-# Targets of a task, changed files that a lens looks at, dependents that make its full strength, ranges of local dependencies.
-TARGETS, LENS_FILES, LENS_FULL = 8, 10, 5
+# Changed files that a lens looks at, dependents that make its full strength, ranges of local dependencies.
+LENS_FILES, LENS_FULL = 10, 5
 LOCAL = r"^(workspace:|file:|link:|git\+|git:|https?:|github:|[./])"
 #: Rings from the gravest on.
 RINGS = ("hold", "assess", "trial", "adopt")
@@ -36,15 +36,14 @@ def _walked(nodes: DataFrame, edges: DataFrame, starts: DataFrame, by: list[str]
 
 
 def imagined(nodes: DataFrame, edges: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What tasks (``task, ord, target``: the symbols and files each names) would break.
+    """What tasks (``task, target``: the symbols and files each names) would break.
 
-    First ``task, file, confidence``: the best over the task's first eight distinct targets, each walked by itself; then ``task, found, risk``, the sum of the first.
+    First ``task, file, confidence``: the best over all of the task's targets, each walked by itself, and once for all tasks that name it; then ``task, found, risk``, the sum of the first.
     """
-    first = tasks.where("target is not null").groupBy("task", "target").agg(F.min("ord").alias("ord"))
-    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("task").orderBy("ord", "target"))).where(F.col("_n") <= TARGETS)
-    starts = nodes_named(nodes, first, ["task", "target"])
-    breaks = _walked(nodes, edges, starts, ["task", "target"], 6).groupBy("task", "file").agg(F.max("strength").alias("confidence"))
-    found = starts.select("task").distinct().withColumn("found", F.lit(True))
+    named = tasks.where("target is not null").select("task", "target").distinct()
+    starts = Rounds(nodes.sparkSession, "named").result(nodes_named(nodes, named.select("target").distinct(), ["target"]))
+    breaks = _walked(nodes, edges, starts, ["target"], 6).join(named, "target").groupBy("task", "file").agg(F.max("strength").alias("confidence"))
+    found = named.join(starts.select("target").distinct(), "target").select("task").distinct().withColumn("found", F.lit(True))
     risk = tasks.select("task").distinct().join(found, "task", "left").join(breaks.groupBy("task").agg(F.sum("confidence").alias("risk")), "task", "left")
     return breaks, risk.select("task", F.coalesce("found", F.lit(False)).alias("found"), F.round(F.coalesce("risk", F.lit(0.0)), 4).alias("risk"))
 

@@ -49,7 +49,7 @@ def g12_impact_eval(spark, sf):
 def a19_imagined_tasks(spark, sf):
     """What tasks that name the suppliers' files of each nation would break, in the suppliers' code graph."""
     run, nodes, edges = _graph(spark, sf)
-    tasks = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("task"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("target"))
+    tasks = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("task"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("target"))
     return run.result(project.imagined(run.keep(nodes), run.keep(edges), tasks)[1])
 
 
