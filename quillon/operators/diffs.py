@@ -113,9 +113,12 @@ def relations_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``src, dst, kind, confidence`` between files, the way consequences go, from a code graph's nodes and resolved edges (source depends on target)."""
     of = nodes.select("id", "file").distinct()
     e = edges.where("not unresolved and kind <> 'contains'").join(of.select(F.col("id").alias("source"), F.col("file").alias("dst")), "source").join(of.select(F.col("id").alias("target"), F.col("file").alias("src")), "target").where("src <> dst")
-    kind = artifact_kind(F.col("dst"))
+    # a file's kind takes many patterns, so it is found once for each file and not for each edge
+    e = e.groupBy("src", "dst", "kind").agg(F.max(clamp01(F.coalesce("confidence", F.lit(0.7)))).alias("confidence"))
+    kind = F.col("artifact")
     typed = F.when(kind == "test", "verified_by").when(kind == "documentation", "documented_by").when(kind == "workflow", "workflow_uses").when(kind.isin("config", "manifest", "schema"), "configures").when(F.col("kind").isin("calls", "imports", "inherits"), F.col("kind"))
-    return e.withColumn("kind", typed).where("kind is not null").groupBy("src", "dst", "kind").agg(F.max(clamp01(F.coalesce("confidence", F.lit(0.7)))).alias("confidence"))
+    files = of.select(F.col("file").alias("dst")).distinct().withColumn("artifact", artifact_kind(F.col("dst")))
+    return e.join(files, "dst").withColumn("kind", typed).where("kind is not null").groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
 
 
 def diff_impact(hunks: DataFrame, key: str, nodes: DataFrame, edges: DataFrame, criticality: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

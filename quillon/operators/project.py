@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.rounds import Rounds
+from ..sources.rounds import Rounds, forget
 from . import graph, metrics
 from .gates import path_class, slug
 
@@ -29,10 +29,38 @@ def nodes_named(nodes: DataFrame, targets: DataFrame, by: list[str]) -> DataFram
 
 
 def _walked(nodes: DataFrame, edges: DataFrame, starts: DataFrame, by: list[str], hops: int) -> DataFrame:
-    """``*by, file, strength`` of the files that depend on the starts."""
-    e = edges.where("not unresolved").select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("confidence").alias("w"))
-    hit = graph.impact(e, starts, hops=hops, by=tuple(by))
-    return hit.join(nodes.select("id", "file").distinct(), "id").groupBy(*by, "file").agg(F.max("strength").alias("strength"))
+    """``*by, file, strength`` of the files that depend on the starts.
+
+    Nodes of a file that are starts of the same one value of ``by``, or of none, and that the same node depends on as surely, or none, lead to the same and are walked as one.
+    Steps to such a node of the file that one comes from are left out if nothing depends on it: the file was found before, and not less surely.
+    """
+    kept = Rounds(nodes.sparkSession, "walked")
+    starts = kept.keep(starts.select(*by, "id").where("id is not null"))
+    e = edges.where("not unresolved and source is not null and target is not null").groupBy(F.col("target").alias("id"), F.col("source").alias("to")).agg(F.max("confidence").alias("w"))
+    e = kept.keep(e.where("w is not null"))
+    parts = nodes.select("id", "file", F.lit(True).alias("node")).where("id is not null")
+    parts = parts.unionByName(e, allowMissingColumns=True).unionByName(starts.select("id", F.struct(*by).alias("start")), allowMissingColumns=True)
+    one = lambda c: F.min(c).eqNullSafe(F.max(c))
+    alike = (F.count("node") > 0) & one("file") & F.count("file").isin(0, F.count("node")) & one("start")
+    n = parts.groupBy("id").agg(alike.alias("alike"), F.min("file").alias("file"), F.min("start").alias("start"), F.count("to").alias("ways"), F.min("to").alias("to"), F.min("w").alias("w"))
+    own = F.struct(*[F.col("start")[c].cast("string").alias(f"s{i}") for i, c in enumerate(by)])
+    kin = F.when(F.col("alike"), F.to_json(F.struct("file", F.when(F.col("start").isNotNull(), own).alias("start"))))
+    n = n.withColumn("kin", kin).withColumn("like", F.when(F.col("alike") & (F.col("ways") <= 1), F.concat(F.lit("="), F.to_json(F.struct("kin", "to", "w")))).otherwise(F.concat(F.lit("."), "id")))
+    n = kept.keep(n)
+    # one dependent each, so the rows of a class are few; the edges of the other nodes stay as they are
+    single = n.where("alike and ways = 1").select("like", "kin", "to", "w").distinct()
+    steps = single.union(n.where("not (alike and ways <= 1) and ways > 0").select("id", "like", "kin").join(e, "id").select("like", "kin", "to", "w"))
+    to = n.select(F.col("id").alias("to"), F.col("like").alias("src"), F.col("kin").alias("to_kin"), "ways")
+    idle = F.coalesce((F.col("kin") == F.col("to_kin")) & (F.col("ways") == 0) & (F.col("w") <= 1), F.lit(False))
+    steps = kept.keep(steps.join(to, "to").where(~idle).select("src", F.col("like").alias("dst"), "w").distinct())
+    begin = n.where("alike and start is not null").select("start.*", "like").distinct()
+    begin = begin.union(starts.join(n.where("not alike").select("id", "like"), "id").select(*by, "like"))
+    files = n.where("alike").select("like", "file").distinct()
+    files = kept.keep(files.union(n.where("not alike").select("id", "like").join(nodes.select("id", "file").distinct(), "id").select("like", "file")))
+    hit = graph.impact(steps, kept.keep(begin.withColumnRenamed("like", "id")), hops=hops, by=tuple(by))
+    found = kept.result(hit.join(files, hit["id"] == files["like"]).groupBy(*by, "file").agg(F.max("strength").alias("strength")))
+    forget(hit)
+    return found
 
 
 def imagined(nodes: DataFrame, edges: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -39,9 +39,10 @@ def g12_impact_eval(spark, sf):
     """Files found for each supplier's module against those that import it directly."""
     run, nodes, edges = _graph(spark, sf)
     nodes, edges = run.keep(nodes), run.keep(edges)
-    direct = diffs.relations_of(nodes, edges).where("kind = 'imports'").select(F.col("src").alias("case"), F.col("dst").alias("file"))
+    direct = diffs.relations_of(nodes, edges.where("kind = 'imports'")).where("kind = 'imports'").select(F.col("src").alias("case"), F.col("dst").alias("file"))
+    direct = run.keep(direct)
     cases = direct.select("case", F.col("case").alias("target"), F.col("case").alias("edited")).distinct()
-    got = project.impact_eval(nodes, edges, run.keep(cases), run.keep(direct))
+    got = project.impact_eval(nodes, edges, run.keep(cases), direct)
     return run.result(got.select("case", *(r6(c).alias(c) for c in ("precision", "recall", "f1", "baseline"))))
 
 
